@@ -46,5 +46,5 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_duplicates` drops."""
+    """``docs`` without the rows that :func:`exact_duplicates` drops; those with a null doc_id stay."""
     return without(docs, cut(exact_duplicates(docs).where("not kept").select("doc_id").distinct()))

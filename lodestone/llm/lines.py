@@ -37,8 +37,7 @@ def _halves(line: Column, n: Column) -> list[Column]:
 
 
 def _deletions(batches):
-    """For each line its own hash (at -1) and those of the line without one character; in a run of equal characters the
-    first stands for all."""
+    """For each line its own hash (at -1) and those of the line without the character at each place."""
     with np.errstate(over="ignore"):
         for b in batches:
             for doc, no, line in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -48,9 +47,8 @@ def _deletions(batches):
                 n = len(c)
                 power = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
                 sums = np.r_[np.uint64(0), np.cumsum(c * power)]
-                at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                keys = sums[at] + (sums[n] - sums[at + 1]) * np.uint64(_INVERSE)
-                keys, at = np.r_[sums[n], keys], np.r_[-1, at]
+                keys = np.r_[sums[n], sums[:-1] + (sums[n] - sums[1:]) * np.uint64(_INVERSE)]
+                at = np.arange(-1, n)
                 yield pa.record_batch(
                     [pa.array(keys.view(np.int64)), pa.array(at.astype(np.int32)), pa.array([doc] * len(keys), pa.int64()), pa.array(np.full(len(keys), no, np.int32))],
                     ["key", "at", "doc_id", "line_no"],

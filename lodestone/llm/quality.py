@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -13,12 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, small, without
+from lodestone.llm.simhash import fingerprint
 from lodestone.session import in_arrow
 
 #: Most labelled rows that the document classifier is fitted on: those with the least hash of their doc_id.
 TRAIN_ROWS = 6000
-#: Most words that each of the two heads looks for, and the least evidence (a log-likelihood ratio) of each.
-MOST_WORDS, LEAST_G = 40, 40.0
+#: Most stems that each of the two heads looks for, and the least evidence (a log-likelihood ratio) of each.
+MOST_STEMS, LEAST_G = 60, 40.0
+#: The least evidence of a stem among documents that those before it have left.
+LEAST_LEFT = 8.0
+#: Stems are told apart by so many words that have them; hash buckets less one.
+LEVELS, _BUCKETS = 3, 2**20 - 1
 #: A document is rejected if the posterior probability of a bad one is above this.
 REJECT = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -41,39 +47,91 @@ def dense(text: str) -> list[float]:
     return [symbols / n, bars / n, shouted / n, bangs / n, repeats / n, top / n if n > 20 else 0.0, len(counts) / n if n > 20 else 1.0, letters, float(n < 3)]
 
 
-def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
-
-
-def _ratio(a: int, na: int, b: int, nb: int) -> float:
-    """G of a word that a of na bad and b of nb good documents have; 0 unless it is more frequent among the bad."""
-    if not na or not nb or a / na <= b / nb:
-        return 0.0
-    g = 0.0
-    for x, n, other in ((a, na, nb), (b, nb, na)):
-        p = (a + b) / (n + other)
-        for seen, expected in ((x, n * p), (n - x, n * (1 - p))):
-            if seen:
-                g += 2 * seen * math.log(seen / expected)
-    return g
-
-
-def choose_words(sets: list[set[str]], bad: np.ndarray) -> list[str]:
-    """Words that mark bad documents, by sequential covering: the strongest one, then the strongest among bad documents
-    that have none of those before, so that words which only ride along in copies are not taken."""
-    good = Counter(w for s, y in zip(sets, bad, strict=True) if not y for w in s)
-    left, n_good, chosen = [s for s, y in zip(sets, bad, strict=True) if y], int((~bad).sum()), []
-    while left and len(chosen) < MOST_WORDS:
-        seen = Counter(w for s in left for w in s)
-        best = max(seen, key=lambda w: (_ratio(seen[w], len(left), good[w], n_good), w))
-        if _ratio(seen[best], len(left), good[best], n_good) < LEAST_G:
+def words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def stems(found: list[str]) -> np.ndarray:
+    """Codes of the beginnings of words, of 3 to 8 letters: bucket * LEVELS + k for those that k + 1 words or more have."""
+    codes = [zlib.crc32(w[:k].encode()) & _BUCKETS for w in found for k in range(3, min(8, len(w)) + 1)]
+    ids, n = np.unique(np.array(codes, np.int64), return_counts=True)
+    return np.concatenate([ids[n > k] * LEVELS + k for k in range(LEVELS)])
+
+
+def _ratio(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarray:
+    """G of features that a of na bad and b of nb good documents have; 0 for those not more frequent among the bad."""
+    p = (a + b) / (na + nb)
+    g = np.zeros(len(a))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for seen, n in ((a, na), (b, nb)):
+            g += np.where(seen > 0, seen * np.log(seen / (n * p)), 0) + np.where(n > seen, (n - seen) * np.log((n - seen) / (n * (1 - p))), 0)
+    return np.where(a * nb > b * na, 2 * g, 0)
+
+
+def choose_stems(texts: list[str], bad: np.ndarray) -> list[tuple[str, int]]:
+    """(stem, words that begin with it) that mark bad documents, out of those with LEAST_G of evidence.
+
+    First by sequential covering: the strongest one, then the strongest among bad documents that have none of those
+    before. Then those that hardly any good document has, since each may be all that another document shows. Of equally
+    strong stems the longest one.
+    """
+    codes = [stems(words(t)) for t in texts]
+    size, n_bad, n_good = (_BUCKETS + 1) * LEVELS, int(bad.sum()), int((~bad).sum())
+    with_it, without_it = (np.bincount(np.concatenate([c for c, y in zip(codes, bad, strict=True) if y == of]), minlength=size) for of in (True, False))
+    full = _ratio(with_it.astype(float), n_bad, without_it.astype(float), n_good)
+    strong = full >= LEAST_G
+    names: dict[int, Counter] = {}  # the text of what the codes stand for
+    for i in np.flatnonzero(bad):
+        for w in words(texts[i]):
+            for k in range(3, min(8, len(w)) + 1):
+                code = (zlib.crc32(w[:k].encode()) & _BUCKETS) * LEVELS
+                for c in range(code, code + LEVELS):
+                    if strong[c]:
+                        names.setdefault(c, Counter())[w[:k]] += 1
+
+    def named(candidates: np.ndarray) -> tuple[int, str]:
+        found = [(names[c].most_common(1)[0][0], c) for c in candidates.tolist()]
+        stem, c = max(found, key=lambda x: (len(x[0]), x[0], -x[1]))
+        return c, stem
+
+    left, chosen = [i for i, y in enumerate(bad) if y], []
+    while left and len(chosen) < MOST_STEMS:
+        ids, seen = np.unique(np.concatenate([codes[i][strong[codes[i]]] for i in left]), return_counts=True)
+        g = _ratio(seen.astype(float), len(left), without_it[ids].astype(float), n_good)
+        if not len(ids) or g.max() < LEAST_LEFT:
             break
-        chosen.append(best)
-        left = [s for s in left if best not in s]
+        code, stem = named(ids[g >= g.max() - 1e-9])
+        chosen.append((stem, code % LEVELS + 1))
+        left = [i for i in left if code not in codes[i]]
+    pure = np.flatnonzero(strong & (without_it * n_bad <= 0.03 * with_it * n_good))
+    pure = pure[pure % LEVELS == 0]
+    for g in sorted(set(full[pure].tolist()), reverse=True):
+        code, stem = named(pure[full[pure] == g])
+        if len(chosen) < MOST_STEMS and not any(stem.startswith(s) or s.startswith(stem) for s, _ in chosen):
+            chosen.append((stem, 1))
     return chosen
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3) -> np.ndarray:
+def distinct_rows(texts: list[str], bits: int = 14) -> list[int]:
+    """Places of texts none of which is a near copy of one before: what copies share is no evidence."""
+    fps, kept = np.array([fingerprint(t) for t in texts], np.uint64), []
+    known = np.zeros(len(texts), np.uint64)
+    for i, f in enumerate(fps):
+        if not (np.bitwise_count(known[: len(kept)] ^ f) <= bits).any():
+            known[len(kept)] = f
+            kept.append(i)
+    return kept
+
+
+def presence(found: list[str], chosen: list[tuple[str, int]]) -> list[bool]:
+    """For each stem whether so many words begin with it."""
+    sizes = sorted({len(s) for s, _ in chosen})
+    wanted = {k: {s for s, _ in chosen if len(s) == k} for k in sizes}
+    n = Counter(w[:k] for k in sizes for w in found if w[:k] in wanted[k])
+    return [n[s] >= least for s, least in chosen]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
     """Weights, the last one the bias, by Newton's method with an L2 penalty that leaves the bias free."""
     x = np.c_[x, np.ones(len(x))]
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
@@ -89,17 +147,17 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.3) -> np.ndarray:
 
 @dataclass
 class Classifier:
-    """Two heads, for low quality and for toxic documents; each looks at the shares and at a few words."""
+    """Two heads, for low quality and for toxic documents; each looks at the shares and at a few stems of words."""
 
-    words: list[list[str]]
+    stems: list[list[tuple[str, int]]]
     weights: list[np.ndarray]
 
     def bad(self, text: str | None) -> float:
         """The probability that a document is of low quality or toxic."""
         text = text or ""
         base, found, good = dense(text), words(text), 1.0
-        for chosen, w in zip(self.words, self.weights, strict=True):
-            x = np.array([*base, *(c in found for c in chosen), 1.0], float)
+        for chosen, w in zip(self.stems, self.weights, strict=True):
+            x = np.array([*base, *presence(found, chosen), 1.0], float)
             good *= 1 / (1 + math.exp(max(-30.0, min(30.0, float(x @ w)))))
         return 1 - good
 
@@ -114,8 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
     rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("doc_id"))
     rows = rows.select("_d", F.coalesce("_t", F.lit("")), "quality", "toxic").limit(2 * train_rows).collect()
     rows.sort(key=lambda r: (r[0], r[1]))
-    rows = list({r[1]: r for r in rows}.values())
-    base, sets = [dense(r[1]) for r in rows], [words(r[1]) for r in rows]
+    rows = [rows[i] for i in distinct_rows([r[1] for r in rows])]
+    base = [dense(r[1]) for r in rows]
     heads, weights = [], []
     for of in (lambda r: None if r[2] is None else r[2] == 0, lambda r: None if r[3] is None else r[3] == 1):
         known = [i for i, r in enumerate(rows) if of(r) is not None]
@@ -124,9 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
             heads.append([])
             weights.append(np.r_[np.zeros(N_DENSE), -30.0])
             continue
-        top = choose_words([sets[i] for i in known], bad)
+        top = choose_stems([rows[i][1] for i in known], bad)
         heads.append(top)
-        weights.append(logistic(np.array([[*base[i], *(w in sets[i] for w in top)] for i in known], float), bad.astype(float)))
+        weights.append(logistic(np.array([[*base[i], *presence(words(rows[i][1]), top)] for i in known], float), bad.astype(float)))
     return Classifier(heads, weights)
 
 
