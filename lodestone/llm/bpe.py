@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lodestone.session import in_arrow
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Distinct pieces of text whose tokens a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Distinct pieces of text in each of the two generations that a worker remembers, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 64
 
 
 def byte_characters() -> list[str]:
@@ -30,7 +30,7 @@ class ByteBPE:
     """Encodes and decodes by a file of ranks (base64 token, rank), each match of ``pattern`` on its own."""
 
     def __init__(self, ranks_file: str, pattern: str = public_tokenizers.PATTERN):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import models
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -38,28 +38,35 @@ class ByteBPE:
         shown = {k: "".join(chars[b] for b in k) for k in ranks}
         # any two tokens that make up a third one may merge, with the third one's rank
         merges = [(shown[k[:i]], shown[k[i:]]) for k in sorted(ranks, key=ranks.get) for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-        self._library = Tokenizer(models.BPE(vocab={shown[k]: v for k, v in ranks.items()}, merges=merges))
-        self._library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # bytes are mapped to characters here: the library's own steps around its model take more time than the model
+        self._tokenize = models.BPE(vocab={shown[k]: v for k, v in ranks.items()}, merges=merges).tokenize
+        self._shown = dict(enumerate(chars))
         self._pieces = regex.compile(pattern).findall
         self._bytes = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             self._bytes[v] = k
-        self._known: dict[str, list[int]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+
+    def _learn(self, piece: str) -> tuple[int, ...]:
+        """Tokens of a piece that is new or was last seen two generations ago."""
+        ids = self._older.get(piece)
+        if ids is None:
+            ids = tuple(t.id for t in self._tokenize(piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._shown)))
+        if len(piece) <= REMEMBERED_CHARS:
+            if len(self._known) >= REMEMBERED:
+                self._older, self._known = self._known, {}
+            self._known[piece] = ids
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids; null counts as empty."""
-        pieces, known = self._pieces(text or ""), self._known
-        new = list(dict.fromkeys(p for p in pieces if p not in known))
-        if new:
-            known.update(zip(new, (e.ids for e in self._library.encode_batch(new, add_special_tokens=False)), strict=True))
         ids: list[int] = []
-        for p in pieces:
-            ids += known[p]
-        for p in new:
-            if len(p) > REMEMBERED_CHARS:
-                del known[p]
-        if len(known) > REMEMBERED:
-            known.clear()
+        known = self._known
+        for p in self._pieces(text or ""):
+            if (found := known.get(p)) is None:
+                found, known = self._learn(p), self._known
+            ids += found
         return ids
 
     def offsets(self, text: str | None) -> list[tuple[int, int]]:
