@@ -320,13 +320,13 @@ def validate_rules(c):
     return c.select("seq", F.explode(quality.issues()).alias("i")).select("seq", "i.*")
 
 
-@_query("catalog", "SELECT provider, count(*) n, sum((errors = 0)::INT)::BIGINT valid, sum(n)::BIGINT issues, sum(errors)::BIGINT errors, sum(fixable)::BIGINT fixable, round(avg(quality), 5) mean_quality FROM sc GROUP BY 1", _SCORES)
+@_query("catalog", "SELECT provider, count(*) n, sum((errors = 0)::INT)::BIGINT valid, sum(n)::BIGINT issues, sum(errors)::BIGINT errors, sum(fixable)::BIGINT fixable, (sum(round(quality * 1000000)::BIGINT) // count(*))::BIGINT quality_ppm FROM sc GROUP BY 1", _SCORES)
 def validate_summary(c):
     i = c.select("provider", quality.issues().alias("i"))
     e = F.size(F.filter("i", lambda x: x["level"] == "error"))
     return i.groupBy("provider").agg(
         F.count(F.lit(1)).alias("n"), F.sum((e == 0).cast("int")).alias("valid"), F.sum(F.size("i")).alias("issues"), F.sum(e).alias("errors"),
-        F.sum(F.size(F.filter("i", lambda x: x["auto_fixable"]))).alias("fixable"), F.round(F.avg(F.round(quality.quality_score(F.col("i")), 6)), 5).alias("mean_quality"),
+        F.sum(F.size(F.filter("i", lambda x: x["auto_fixable"]))).alias("fixable"), F.floor(F.sum(F.round(F.round(quality.quality_score(F.col("i")), 6) * 1000000).cast("long")) / F.count(F.lit(1))).alias("quality_ppm"),
     )
 
 
