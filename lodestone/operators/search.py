@@ -72,14 +72,23 @@ def find_matches(rows: DataFrame, query: str, least: float = 0.3, most: int | No
 
 
 def duplicates(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
-    """(name, first_name, similarity): each distinct package that has an earlier one of at least ``least`` in its block,
-    with the first such. Blocks are the normalized names' first words; copies of a package are one."""
-    p = rows.groupBy("name", "provider").agg(F.min("seq").alias("seq")).withColumn("block", F.element_at(F.split(text.normalized_name(F.col("name")), "-"), 1))
-    a = p.select("block", F.struct("seq", "name", "provider", F.lit(None).cast("string").alias("description")).alias("a"))
-    b = p.select(F.col("block").alias("_b"), F.struct("seq", "name", "provider", F.lit(None).cast("string").alias("description")).alias("b"))
-    pairs = a.join(b, (F.col("block") == F.col("_b")) & (F.col("a.seq") < F.col("b.seq"))).withColumn("similarity", F.round(package_similarity("a", "b") / 0.7, 6))
-    first = pairs.where(F.col("similarity") >= least).groupBy("b").agg(F.min(F.struct("a.seq", "a.name", "similarity")).alias("m"))
-    return first.select("b.name", "b.provider", F.col("m.name").alias("first_name"), "m.similarity")
+    """(name, provider, first_name, similarity): each distinct package (by name and provider) that has an earlier one of
+    at least ``least``, with the first such; 0.6 of the names' similarity and 0.1 or 0.03 for the provider, over 0.7.
+
+    Names are compared once each, within blocks of the normalized names' first words. Packages then meet the earliest
+    package of a similar name, and the one of their own provider: never all pairs.
+    """
+    p = rows.groupBy("name", "provider").agg(F.min("seq").alias("seq"))
+    n = p.groupBy("name").agg(F.min(F.struct("seq", "provider")).alias("first")).withColumn("block", F.element_at(F.split(text.normalized_name(F.col("name")), "-"), 1))
+    a, b = n.select("block", F.col("name").alias("a"), "first"), n.select(F.col("block").alias("_b"), F.col("name").alias("b"))
+    score = lambda same: F.round((0.6 * F.col("s") + F.when(same, 0.1).otherwise(0.03)) / 0.7, 6)
+    names = a.join(b, F.col("block") == F.col("_b")).select("a", "b", "first", text.similarity(F.col("a"), F.col("b")).alias("s")).where(score(F.lit(True)) >= least)
+    met = p.join(names, F.col("name") == F.col("b"))
+    any_provider = met.select("name", "provider", "seq", F.col("first.seq").alias("at"), "a", score(F.col("first.provider") == F.col("provider")).alias("similarity"))
+    own = p.select(F.col("name").alias("_n"), F.col("provider").alias("_p"), F.col("seq").alias("at"))
+    same_provider = met.join(own, (F.col("a") == F.col("_n")) & (F.col("provider") == F.col("_p"))).select("name", "provider", "seq", "at", "a", score(F.lit(True)).alias("similarity"))
+    every = any_provider.union(same_provider).where((F.col("at") < F.col("seq")) & (F.col("similarity") >= least))
+    return every.groupBy("name", "provider").agg(F.min(F.struct("at", "a", "similarity")).alias("m")).select("name", "provider", F.col("m.a").alias("first_name"), "m.similarity")
 
 
 def selection_score() -> Column:

@@ -30,7 +30,6 @@ def _query(of: str, sql: str | None = None, views: str = ""):
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(name)), '^(lib|python-|python3-|node-|ruby-)', ''), '-(dev|devel|doc|docs|common|utils|tools)$', ''), '[-_.]+', '-', 'g'), '-')"
 _WEIGHT = dims.lookup_sql("lower(provider)", "SEARCH_WEIGHT")
 _HIT = "hit AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) rn FROM catalog WHERE contains(lower(name), 'pkg_e') OR contains(lower(description), 'pkg_e'))"
-_ROW = "software, seq, provider, name, version, description, license, homepage, source_url, platforms, category, score, ts"
 _SHORT = ["name", "provider", "seq", "score"]
 
 
