@@ -595,3 +595,64 @@ def flatten_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["flatten_csv"] = flatten_csv
 ORACLE_SQL["flatten_csv"] = "SELECT event_id, 'props.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) k FROM events)"
+
+
+_OPTIONAL = ["version", "description", "license", "homepage", "source_url", "category"]
+
+
+@_query("catalog", "SELECT seq, concat_ws(',', " + ", ".join(f"CASE WHEN coalesce({c}, '') = '' THEN '{c}' END" for c in _OPTIONAL) + ") AS missing FROM catalog")
+def missing_fields(c):
+    return c.select("seq", F.array_join(F.array_compact(F.array(*(F.when(~text.truthy(F.col(k)), F.lit(k)) for k in _OPTIONAL))), ",").alias("missing"))
+
+
+@_query("metrics", "SELECT id, key, ts, value FROM metrics WHERE name = 'error' ORDER BY ts DESC, id LIMIT 100")
+def degradation_events(m):
+    """The newest 100 failures: the limit is the report's."""
+    return m.where("name = 'error'").orderBy(F.desc("ts"), "id").limit(100).select("id", "key", "ts", "value")
+
+
+@_query("metrics", "SELECT key, count(*) failures, max(ts) last_failure, arg_max(id, ts * 10000000 + id) last_id, count(DISTINCT ts // 3600) n_hours FROM metrics WHERE name = 'error' GROUP BY 1")
+def error_summary(m):
+    e = m.where("name = 'error'")
+    return e.groupBy("key").agg(F.count(F.lit(1)).alias("failures"), F.max("ts").alias("last_failure"), F.max_by("id", F.struct("ts", "id")).alias("last_id"), F.countDistinct(F.floor(F.col("ts") / 3600)).alias("n_hours"))
+
+
+@_query("metrics", "SELECT name, ts // 3600 AS hour, count(*) n, round(sum(value), 2) total FROM metrics GROUP BY 1, 2")
+def metric_windows(m):
+    return m.groupBy("name", F.floor(F.col("ts") / 3600).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@_query("metrics", "SELECT name, least(30.0e0, 0.1e0 * power(2, least(count(*), 8) - 1)) delay, count(*) attempts FROM metrics GROUP BY 1")
+def retry_delay(m):
+    """Exponential backoff after so many attempts, 8 at most, without its random part."""
+    n = F.count(F.lit(1))
+    return m.groupBy("name").agg(F.least(F.lit(30.0), 0.1 * F.pow(F.lit(2.0), F.least(n, F.lit(8)) - 1)).alias("delay"), n.alias("attempts"))
+
+
+@_query("catalog", "SELECT provider, count(*) n, sum((coalesce(category, '') <> '')::INT)::BIGINT succeeded, round(sum((coalesce(category, '') <> '')::INT) / count(*), 6) rate, sum(length(description))::BIGINT chars FROM catalog GROUP BY 1")
+def enhancement_statistics(c):
+    ok = F.sum(text.truthy(F.col("category")).cast("int"))
+    return c.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), ok.alias("succeeded"), F.round(ok / F.count(F.lit(1)), 6).alias("rate"), F.sum(F.char_length("description")).cast("long").alias("chars"))
+
+
+#: Phrases that a generated description must not hold.
+REFUSALS = ["I cannot", "I don't know", "As an AI", "I'm sorry", "I apologize", "I'm not able", "I can't provide"]
+
+
+def _quoted(phrase: str) -> str:
+    return "'" + phrase.lower().replace("'", "''") + "'"
+
+
+@_query(
+    "catalog",
+    "SELECT seq, CASE WHEN trim(coalesce(description, '')) = '' THEN 'empty' WHEN length(description) < 10 THEN 'too short' WHEN length(description) > 1000 THEN 'too long' WHEN "
+    + " OR ".join(f"contains(lower(description), {_quoted(p)})" for p in REFUSALS) + " THEN 'refusal' END AS reason FROM catalog",
+)
+def description_validity(c):
+    """Why a generated description is not taken; null if it is."""
+    d, low = F.col("description"), F.lower("description")
+    refused = F.lit(False)
+    for p in REFUSALS:
+        refused = refused | F.contains(low, F.lit(p.lower()))
+    n = F.char_length(d)
+    return c.select("seq", F.when(F.trim(F.coalesce(d, F.lit(""))) == "", "empty").when(n < 10, "too short").when(n > 1000, "too long").when(refused, "refusal").alias("reason"))
