@@ -139,3 +139,27 @@ def partial_match(query: Column, target: Column) -> Column:
     split = lambda c: F.split(c, r"[-_\s.]+")
     starts = F.exists(F.filter(split(q), lambda w: F.char_length(w) >= 2), lambda w: F.exists(split(t), lambda x: F.startswith(x, w)))
     return F.contains(t, q) | starts
+
+
+def dependency_names(c: Column) -> Column:
+    """Names of a list like ``a (>= 1), b``."""
+    return F.array_remove(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.regexp_extract(x, r"([^\s(]+)", 1)), "")
+
+
+def name_variations(c: Column) -> Column:
+    """Spellings under which a registry may know a package, the given one first."""
+    swap = lambda a, b: F.replace(c, F.lit(a), F.lit(b))
+    return F.array_distinct(F.array(c, F.lower(c), swap("-", "_"), swap("_", "-"), swap(" ", "-"), swap(" ", "_")))
+
+
+def literal_kind(c: Column) -> Column:
+    """What a template takes a value for: quoted, float, int, bool, null or text."""
+    quoted = c.rlike(r"""(?s)^(?:".*"|'.*')$""")
+    number = F.when(F.contains(c, F.lit(".")), F.when(c.rlike(r"^\s*[+-]?(?:\d+\.\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"), "float")).when(c.rlike(r"^\s*[+-]?\d+\s*$"), "int")
+    low = F.lower(c)
+    return F.when(c.isNull(), "null").when(quoted, "quoted").otherwise(F.coalesce(number, F.when(low.isin("true", "false"), "bool").when(low.isin("none", "null"), "null").otherwise("text")))
+
+
+def capitalized(c: Column) -> Column:
+    """The first letter as a capital, all others small."""
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 2**31 - 1)))

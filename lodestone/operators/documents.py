@@ -102,3 +102,38 @@ def condition(expression: str, known: dict[str, Column]) -> Column:
             both = both & one(p)
         either = either | both
     return either
+
+
+def with_value(rows: DataFrame, path: str, value: str | None, doc: str = "doc") -> DataFrame:
+    """Each document's rows (doc, path, value) with ``value`` at ``path``, which is made where it is missing."""
+    return without_path(rows, path).select(doc, "path", "value").union(rows.select(doc).distinct().select(doc, F.lit(path), F.lit(value).cast("string")))
+
+
+def without_path(rows: DataFrame, path: str) -> DataFrame:
+    """Rows that are neither at ``path`` nor below it."""
+    under = (F.col("path") == path) | F.startswith("path", F.lit(path + ".")) | F.startswith("path", F.lit(path + "["))
+    return rows.where(~under)
+
+
+def override_quality(rows: DataFrame, defaults: DataFrame, required: list[str], doc: str = "provider") -> DataFrame:
+    """(doc, n, redundant, missing, invalid, quality): the share of keys that differ from the defaults, less 0.1 for each
+    required path that is missing (0.3 at most) and 0.05 for each null value (0.2 at most); between 0 and 1."""
+    d = defaults.select(F.col("path").alias("_p"), F.col("value").alias("_v")).withColumn("_d", F.lit(True))
+    same = F.coalesce(F.col("_d") & F.col("value").eqNullSafe(F.col("_v")), F.lit(False))
+    has = [F.max((F.col("path") == p).cast("int")) for p in required]
+    met = rows.join(d, F.col("path") == F.col("_p"), "left").groupBy(doc).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(same).alias("redundant"), (F.lit(len(required)) - sum(has, F.lit(0))).cast("long").alias("missing"), F.count_if(F.col("value").isNull()).alias("invalid")
+    )
+    score = (F.col("n") - F.col("redundant")) / F.col("n") - F.least(F.lit(0.3), 0.1 * F.col("missing")) - F.least(F.lit(0.2), 0.05 * F.col("invalid"))
+    return met.withColumn("quality", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+
+
+def type_issues(json: Column, types: dict[str, str]) -> Column:
+    """What of a JSON object breaks a schema of simple types (integer, number, string, boolean): paths, or ``$`` if it is no
+    JSON at all. Paths that are missing are no issue."""
+    names = {"integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*", "string": "STRING", "boolean": "BOOLEAN"}
+    j = F.try_parse_json(json)
+    wrong = [
+        F.when(F.try_variant_get(j, f"$.{p}", "variant").isNotNull() & ~F.schema_of_variant(F.try_variant_get(j, f"$.{p}", "variant")).rlike(f"^(?:{names[t]})$"), F.lit(p)) for p, t in types.items()
+    ]
+    return F.when(json.isNotNull() & j.isNull(), F.array(F.lit("$"))).otherwise(F.array_compact(F.array(*wrong)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,22 @@ def token_bucket(rows: DataFrame, rate: float, burst: float) -> DataFrame:
 
     events = rows.select("key", "ts", "id").repartition("key").sortWithinPartitions("key", "ts", "id")
     return events.mapInPandas(run, "key string, ts long, id long, tokens double, allowed boolean")
+
+
+def newest(rows: DataFrame, most: int, by: str = "key") -> DataFrame:
+    """Ring buffers: the last ``most`` rows of each key. Spark cuts each partition's groups to so many before the shuffle."""
+    place = Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("id"))
+    return rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str = "key", stamp: str = "ts") -> DataFrame:
+    """Rows of both by key; the one with the later stamp replaces the other, one of ``new`` if they are equal."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    others = [c for c in old.columns if c != key]
+    return both.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(stamp, "_new")).alias("m")).select(key, "m.*")
+
+
+def hit_rates(rows: DataFrame, hit: Column, miss: Column, by: str = "key") -> DataFrame:
+    """(key, hits, misses, hit_rate); the rate is 0 if there was neither."""
+    n = rows.groupBy(by).agg(F.count_if(hit).alias("hits"), F.count_if(miss).alias("misses"))
+    return n.withColumn("hit_rate", F.round(F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)), 6))

@@ -212,6 +212,34 @@ def helm(spark: SparkSession, path: str) -> DataFrame:
     return _in_batches(spark, path, parse)
 
 
+def choco(spark: SparkSession, path: str) -> DataFrame:
+    """Feeds of entries, as a package gallery answers: the title is the name, the rest is among the properties."""
+    x = _entries(spark, path, "entry")
+    g = lambda tag: F.nullif(F.trim(F.regexp_extract("value", rf"(?is)<(?:\w+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{tag}>", 1)), F.lit(""))
+    named = F.coalesce(g("id").isNotNull() & ~F.contains(g("id"), F.lit("://")), F.lit(False))
+    parts = F.filter(F.split(F.coalesce(g("dependencies"), F.lit("")), r"\|"), lambda d: ~d.rlike("<|^$"))
+    listed = F.transform(parts, lambda d: F.split(d, ":")[0])
+    tagged = F.regexp_extract_all("value", F.lit(r'(?i)<dependency\s[^>]*id="([^"]+)"'), 1)
+    return _packages(x, name=F.when(named, g("id")).otherwise(g("title")), version=g("version"), description=F.coalesce(g("description"), g("summary")), homepage=g("projectUrl"), license=g("licenseUrl"), depends=F.concat(listed, tagged))
+
+
+def _entries(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """The text of each element ``tag`` of XML files, or of a nuspec's ``metadata``."""
+    t = spark.read.text(path, wholetext=True)
+    return t.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)(<(?:{tag}|metadata)[\s>].*?</(?:{tag}|metadata)>)"), 1)).alias("value"))
+
+
+def winget(spark: SparkSession, path: str) -> DataFrame:
+    """Manifests of ``Key: value`` lines, several for each package: of each key the file that comes last wins."""
+    t = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    g = lambda k: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^{k}:[ \t]*(.*?)[ \t\r]*$", 1), F.lit(" '\"")), F.lit(""))
+    stem = F.regexp_extract("file", r"([^/]+?)(?:\.installer|\.locale\.[\w-]+)?\.ya?ml$", 1)
+    fields = {"version": g("PackageVersion"), "description": F.coalesce(g("ShortDescription"), g("Description")), "homepage": g("PackageUrl"), "license": g("License")}
+    rows = t.select(F.coalesce(g("PackageIdentifier"), stem).alias("name"), "file", *(v.alias(k) for k, v in fields.items()))
+    last = rows.groupBy("name").agg(*(F.max_by(k, F.when(F.col(k).isNotNull(), F.col("file"))).alias(k) for k in fields))
+    return _packages(last, name=F.col("name"), **{k: F.col(k) for k in fields})
+
+
 def names(spark: SparkSession, path: str) -> DataFrame:
     """A name on each line; blank lines and those that begin with # are left out."""
     t = spark.read.text(path).select(F.trim("value", F.lit(" \t\r")).alias("name"))
@@ -226,7 +254,7 @@ def repaired_json(c: Column) -> Column:
 
 READERS = {
     "apt": stanzas, "opkg": lambda s, p: stanzas(s, p, False), "apk": apk_index, "slackpkg": slackware, "pacman": pacman, "dnf": rpm_primary, "yum": rpm_primary, "zypper": rpm_primary, "brew": brew,
-    "pkg": json_lines, "scoop": scoop, "nix": nix, "nixpkgs": nix, "portage": ebuilds, "emerge": emerge, "spack": spack, "xbps": xbps, "helm": helm, **{k: (lambda s, p, k=k: registry(s, p, k)) for k in REGISTRIES},
+    "pkg": json_lines, "scoop": scoop, "nix": nix, "nixpkgs": nix, "portage": ebuilds, "emerge": emerge, "spack": spack, "xbps": xbps, "helm": helm, "choco": choco, "winget": winget, **{k: (lambda s, p, k=k: registry(s, p, k)) for k in REGISTRIES},
 }
 
 

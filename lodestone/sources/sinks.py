@@ -44,3 +44,15 @@ def export(df: DataFrame, path: str, kind: str = "jsonl", metadata: bool = True)
     else:
         raise ValueError(f"unknown format {kind!r}")
     return rows
+
+
+def export_trees(rows: DataFrame, path: str, root: str = "name", file: str = "provider") -> DataFrame:
+    """Documents (root, file, path, value) as YAML, in a folder for each root and file, and what was written as text.
+
+    Each line is a whole path with its value in JSON's quoting, which YAML reads; values that are null or empty, and files
+    without any other, are not written. What is grouped is one document."""
+    lines = rows.where(F.coalesce(F.col("value") != "", F.lit(False))).groupBy(root, file).agg(F.sort_array(F.collect_set(F.struct("path", "value"))).alias("l"))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    text = lines.select(root, file, F.array_join(F.transform("l", lambda x: F.concat(quoted(x["path"]), F.lit(": "), quoted(x["value"]))), "\n").alias("value"))
+    text.write.mode("overwrite").partitionBy(root, file).text(path)
+    return text

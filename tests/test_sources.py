@@ -102,3 +102,25 @@ def test_streams(spark, tmp_path):
     n = drain(spark, health.windowed_metrics(stream), "windows").agg(F.sum("n")).first()[0]
     assert 0 < n <= events.count()
     assert health.retained(events, 10**10).count() == 0
+
+
+def test_choco_and_winget(spark, tmp_path):
+    feed = '<feed xmlns:d="x"><title>All</title><entry><id>http://x/Packages</id><title type="text">nginx</title><d:Version>1.18</d:Version><d:Dependencies>zlib:1.2:|perl::</d:Dependencies></entry></feed>'
+    spec = '<package><metadata><id>vim</id><version>9</version><summary>editor</summary><dependencies><dependency id="git" version="2" /></dependencies></metadata></package>'
+    (tmp_path / "a.xml").write_text(feed)
+    (tmp_path / "b.xml").write_text(spec)
+    got = {r.name: r for r in readers.choco(spark, str(tmp_path / "*.xml")).collect()}
+    assert set(got) == {"nginx", "vim"} and (got["nginx"].version, got["nginx"].depends) == ("1.18", ["zlib", "perl"])
+    assert (got["vim"].version, got["vim"].description, got["vim"].depends) == ("9", "editor", ["git"])
+    (tmp_path / "v1.yaml").write_text("PackageIdentifier: Vim.Vim\nPackageVersion: 8\nLicense: Vim\n")
+    (tmp_path / "v2.yaml").write_text("PackageIdentifier: Vim.Vim\nPackageVersion: '9'\nShortDescription: editor\r\n")
+    (tmp_path / "Nano.installer.yaml").write_text("PackageVersion: 7\n")
+    got = {r.name: tuple(r)[1:5] for r in readers.winget(spark, str(tmp_path / "*.yaml")).collect()}
+    assert got == {"Vim.Vim": ("9", "editor", None, "Vim"), "Nano": ("7", None, None, None)}
+
+
+def test_trees(spark, tmp_path):
+    rows = spark.createDataFrame([("vim", "apt", "a.b", 'x "y"'), ("vim", "apt", "a.a", "1"), ("vim", "brew", "a", ""), ("vim", "brew", "b", None)], "name string, provider string, path string, value string")
+    sinks.export_trees(rows, str(tmp_path / "t"))
+    back = spark.read.text(str(tmp_path / "t")).collect()
+    assert sorted(r.value for r in back) == ['"a.a": "1"', '"a.b": "x \\"y\\""'] and {(r.name, r.provider) for r in back} == {("vim", "apt")}
