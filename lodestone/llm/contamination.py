@@ -10,7 +10,7 @@ from lodestone.llm.common import ascii_lower, cut, without
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Most distinct windows of the benchmark that are broadcast (about 200 MB); beyond it the join shuffles hashes.
+#: Most distinct windows of the benchmark that are broadcast (about 200 MB); beyond it hashes are shuffled, without words.
 BROADCAST_WINDOWS = 400_000
 #: Fixed value of the contract: all that is not part of a word.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,26 +70,37 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     The windows are broadcast behind a check of their number. Hashes of all runs of words of a document are exploded,
     probed and verified word by word within one stage, so that only hits leave it, with one row of length 0 for each
     document, the empty window, which keeps those without hits. What is grouped afterwards is one document's hits.
+    Windows beyond the bound meet the hashes in a shuffle that carries no words; those that meet go back to their
+    documents, by id and digests, to be verified there.
     """
     table = cut(windows(benchmark, size))
     lens = [r[0] for r in table.select("len").distinct().collect()]  # of 13 values at most
     lens.sort(reverse=True)
-    empty = table.sparkSession.range(1).selectExpr("0L hash", "0 len", "cast(array() as array<string>) window", "cast(array() as array<string>) items")
-    table = table.union(empty)
-    table = F.broadcast(table) if table.count() <= BROADCAST_WINDOWS else table
 
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     split = text.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), words_of(F.col("text")).alias("w"))
     split = _hashed(split, lens)
     runs = split.select("doc_id", "h1", "h2", "w", F.size("w").alias("n"), F.concat(F.array(F.lit(0).cast("long")), *(f"r{k}" for k in lens)).alias("runs"))
-    # no array is empty; an inner generator would have Spark compute them once more for a filter
-    each = runs.select("doc_id", "h1", "h2", "w", "n", F.posexplode_outer("runs").alias("at", "run"))
     first, base = F.lit(0), F.lit(1)  # of the runs of the window's length
     for k in lens:
         first = F.when(F.col("len") == k, base).otherwise(first)
         base = base + F.greatest(F.col("n") - (k - 1), F.lit(0))
-    met = each.join(table, F.col("run") == F.col("hash")).withColumn("pos", F.col("at") - first)
-    met = met.where((F.col("pos") >= 0) & (F.slice("w", F.col("pos") + 1, F.col("len")) == F.col("window")) & ((F.col("len") > 0) | (F.col("at") == 0)))
+    same = F.slice("w", F.col("pos") + 1, F.col("len")) == F.col("window")
+    if table.count() <= BROADCAST_WINDOWS:
+        empty = table.sparkSession.range(1).selectExpr("0L hash", "0 len", "cast(array() as array<string>) window", "cast(array() as array<string>) items")
+        # no array is empty; an inner generator would have Spark compute them once more for a filter
+        each = runs.select("doc_id", "h1", "h2", "w", "n", F.posexplode_outer("runs").alias("at", "run"))
+        met = each.join(F.broadcast(table.union(empty)), F.col("run") == F.col("hash")).withColumn("pos", F.col("at") - first)
+        met = met.where((F.col("pos") >= 0) & same & ((F.col("len") > 0) | (F.col("at") == 0)))
+    else:
+        each = runs.select("doc_id", "h1", "h2", "n", F.posexplode_outer("runs").alias("at", "run"))
+        near = each.join(table, F.col("run") == F.col("hash")).withColumn("pos", F.col("at") - first).where("pos >= 0")
+        near = near.groupBy(F.col("doc_id").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.collect_set(F.struct("pos", "len", "window", "items")).alias("near"))
+        own = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+        none = F.expr("array(named_struct('pos', 0, 'len', 0, 'window', cast(array() as array<string>), 'items', cast(array() as array<string>)))")
+        both = text.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), words_of(F.col("text")).alias("w")).join(near, own, "left")
+        met = both.select("doc_id", "h1", "h2", "w", F.size("w").alias("n"), F.explode(F.when(F.col("near").isNull(), none).otherwise(F.concat(none, "near"))).alias("x"))
+        met = met.select("doc_id", "h1", "h2", "w", "n", "x.*").where(same)
     found = met.groupBy("doc_id", "h1", "h2", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     covered = F.aggregate(
         "spans",

@@ -136,6 +136,14 @@ def test_contamination_odd(spark, odd, none):
     assert contamination.clean(odd, bench).count() == len(ROWS) - 2  # a row without id stays
 
 
+def test_contamination_without_broadcast(spark, docs, odd, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    run = lambda d: sorted(map(repr, contamination.scan(d, bench).collect()))
+    want = [run(d) for d in (docs, odd)]
+    monkeypatch.setattr(contamination, "BROADCAST_WINDOWS", 0)
+    assert [run(d) for d in (docs, odd)] == want and any("contaminated=True" in r for r in want[0])
+
+
 def test_contamination_of_long_items(spark):
     r = random.Random(2)
     words = [f"w{i}" for i in range(50)]
