@@ -64,7 +64,21 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_secret_scan, op3_line_dedup,
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESC = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
+_TRIMMED = r"trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
+
 ORACLE_SQL = {
+    "op3_line_dedup": rf"""
+        WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) l FROM documents),
+        pos AS (SELECT doc_id, unnest(l) raw, unnest(range(0, len(l))) line_no FROM docs),
+        lines AS (SELECT doc_id, line_no, raw, {_TRIMMED} AS line FROM pos),
+        firsts AS (SELECT line, min((doc_id, line_no)) AS spot FROM lines WHERE length(line) >= 10 GROUP BY 1),
+        cut AS (SELECT line, spot, i, hash(line[:i - 1] || line[i + 1:]) h FROM (SELECT *, unnest(range(1, length(line) + 1)) i FROM firsts)),
+        close AS (SELECT a.line, a.spot FROM cut a JOIN cut b ON a.h = b.h AND a.i = b.i AND a.spot > b.spot WHERE levenshtein(a.line, b.line) <= 1
+                  UNION SELECT a.line, a.spot FROM cut a JOIN firsts b ON a.h = hash(b.line) AND a.spot > b.spot WHERE levenshtein(a.line, b.line) <= 1
+                  UNION SELECT a.line, a.spot FROM firsts a JOIN cut b ON hash(a.line) = b.h AND a.spot > b.spot WHERE levenshtein(a.line, b.line) <= 1),
+        stay AS (SELECT spot FROM firsts WHERE line NOT IN (SELECT line FROM close)),
+        kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line_no) AS text, count(*) n FROM lines WHERE length(line) < 10 OR (doc_id, line_no) IN (SELECT spot FROM stay) GROUP BY 1)
+        SELECT doc_id, len(l)::BIGINT n_lines, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE n END n_kept, sha256(coalesce(text, '')) text_sha256 FROM docs LEFT JOIN kept USING (doc_id)""",
     "op7_decontamination": rf"""
         WITH b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE item_id IS NOT NULL),
         win AS (SELECT DISTINCT item_id, least(len(w), 13) l, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') g
