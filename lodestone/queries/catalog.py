@@ -287,13 +287,20 @@ def partial_match(c):
     return c.select("name").distinct().select("name", text.partial_match(F.lit("pkg_e"), F.col("name")).alias("partial"))
 
 
-@_query("catalog")
+_W = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda x: x <> '')"
+_BOTH = "list_intersect(wa, wb)"
+_PLACES = "(list_position({0}, x) - 1)::DOUBLE / len({0})"
+_NEAR = f"list_sum(list_transform({_BOTH}, lambda x: 1 - abs({_PLACES.format('wa')} - {_PLACES.format('wb')})))"
+_ALIKE = f"CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0 ELSE 0.7e0 * len({_BOTH}) / len(list_distinct(list_concat(wa, wb))) + 0.3e0 * coalesce({_NEAR} / nullif(len({_BOTH}), 0), 0) END"
+
+
+@_query("catalog", f"SELECT seq, round({_ALIKE}, 6) similarity FROM pairs", f"pairs AS (SELECT seq, {_W.format('description')} wa, {_W.format('first')} wb FROM catalog JOIN (SELECT software, arg_min(description, seq) AS first FROM catalog GROUP BY 1) USING (software))")
 def text_similarity(c):
     a = c.groupBy("software").agg(F.min_by("description", "seq").alias("first"))
     return c.join(a, "software").select("seq", F.round(text.text_similarity(F.col("description"), F.col("first")), 6).alias("similarity"))
 
 
-@_query("catalog")
+@_query("catalog", f"SELECT seq, round(1 - avg({_ALIKE}), 5) uniqueness FROM pairs GROUP BY 1", f"pairs AS (SELECT seq, {_W.format('description')} wa, {_W.format('other')} wb FROM catalog JOIN (SELECT software, provider p, arg_min(description, seq) AS other FROM catalog GROUP BY 1, 2) USING (software) WHERE provider <> p)")
 def text_uniqueness(c):
     """1 less the mean similarity to the first description of each provider of the software."""
     a = c.groupBy("software", "provider").agg(F.min_by("description", "seq").alias("other"))
@@ -489,7 +496,7 @@ def balance_under(p):
     return dataset.balance(p, 60, "undersample").select("id", "stratum", "copy")
 
 
-@_query("pairs")
+@_query("pairs", "SELECT id, regexp_replace(regexp_replace(instruction, '^Generate', 'Produce'), '^Categorize', 'Classify') instruction, round(greatest(confidence * 0.95e0, 0.1e0), 6) confidence FROM pairs WHERE CAST('0x' || md5(id || '#42a')[1:8] AS BIGINT) / 4294967296.0 < 0.4")
 def augment(p):
     return dataset.augment(p).select("id", "instruction", F.round("confidence", 6).alias("confidence"))
 
