@@ -16,6 +16,8 @@ from lodestone.llm.forest import Tree, probability, train
 TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
 #: A word that announces a secret, then an assignment.
 ANNOUNCED = r"(?i:passw(?:or)?d|pwd|secret|token|api[_-]?key|credential)[A-Za-z_]*[\"']?\s*[=:]"
+#: An announcement, then its value in the same word: up to the next quote if it is quoted, else up to a separator too.
+WITHIN = rf"({ANNOUNCED}[=:>(]*[\"']?)((?<=[\"'])[^\"']{{6,}}|(?<![\"'])[^\"'&,;]{{6,}})"
 SPACE = r"[\x20\x09-\x0D]+"
 REPORT = 0.5
 #: Words near a secret, near a placeholder, of a path that holds tests; a dictionary; frequent pairs of letters.
@@ -113,22 +115,47 @@ def fit(findings: DataFrame, most: int = 20_000) -> list[Tree]:
     return train(x, np.array([r[0] for r in rows], float))
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, "^[\"'(]+|[\"'),.;]+$", "")
+
+
+def _pieces(word: Column) -> Column:
+    """What lies between the candidates of a word, and the candidates, by turns: left, candidate, left, ..., left.
+
+    Words have no spaces or tabs, so these can mark places: announcements and values are set off by spaces (text,
+    announcement, value, text, ...), then tokens in texts and values, or else the whole value, by tabs.
+    """
+    tokens = lambda c: F.regexp_replace(c, TOKEN, "\t$0\t")
+    value = lambda c: F.when(c.rlike(TOKEN), tokens(c)).when(_stripped(c) != "", F.concat(F.lit("\t"), _stripped(c), F.lit("\t"))).otherwise(c)
+    parts = F.split(F.regexp_replace(word, WITHIN, " $1 $2 "), " ", -1)
+    return F.split(F.array_join(F.transform(parts, lambda p, j: F.when(j % 3 == 0, tokens(p)).when(j % 3 == 1, p).otherwise(value(p))), ""), "\t", -1)
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """(doc_id, word_no, candidate, before, after, path) of whole texts; null texts have none."""
+    """(doc_id, word_no, candidate, before, after, path) of whole texts; null texts have none.
+
+    A word has as many candidates as it has tokens and announced values. ``before`` of the first one begins two words
+    before, that of others where the last candidate ends; ``after`` of the last one is the next word.
+    """
     rows = docs.where(F.col("text").rlike(f"{TOKEN}|{ANNOUNCED}")).select("doc_id", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.split("text", SPACE).alias("w"))
     assigned = lambda i: F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)).rlike(f"{ANNOUNCED}$")
     numbered = F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    hit = F.filter(numbered, lambda p: p["x"].rlike(TOKEN) | ((F.char_length(p["x"]) >= 8) & (p["i"] > 0) & assigned(p["i"])))
-    each = rows.select("doc_id", "path", "w", F.explode(hit).alias("hit")).select("doc_id", "path", "w", F.col("hit.i").alias("i"), F.col("hit.x").alias("x"))
-    token = F.regexp_extract("x", f"({TOKEN})", 1)
-    each = each.withColumn("candidate", F.when(token != "", token).otherwise(F.regexp_replace("x", "^[\"'(]+|[\"'),.;]+$", "")))
-    left = F.expr("substring_index(x, candidate, 1)")
-    before = F.trim(F.concat_ws(" ", F.slice("w", F.greatest(F.col("i") - 2, F.lit(1)), F.least(F.col("i"), F.lit(3))), left))
-    return each.where("candidate <> ''").select("doc_id", F.col("i").cast("long").alias("word_no"), "candidate", before.alias("before"), F.coalesce(F.try_element_at("w", F.col("i") + 2), F.lit("")).alias("after"), "path")
+    hit = F.filter(numbered, lambda p: p["x"].rlike(TOKEN) | p["x"].rlike(WITHIN) | ((F.char_length(p["x"]) >= 8) & (p["i"] > 0) & assigned(p["i"])))
+    each = rows.select("doc_id", "path", "w", F.explode(hit).alias("hit"))
+    i = F.col("hit.i")
+    each = each.select("doc_id", "path", i.alias("i"), F.col("hit.x").alias("x"), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1)).alias("words"), F.coalesce(F.get("w", i + 1), F.lit("")).alias("next"))
+    one = lambda c, left, first, last: F.struct(c.alias("c"), left.alias("left"), first.alias("first"), last.alias("last"))
+    n = F.size("s")
+    many = F.transform(F.sequence(F.lit(1), n - 2, F.lit(2)), lambda k: one(F.get("s", k), F.get("s", k - 1), k == 1, k == n - 2))
+    whole = F.array(one(F.col("v"), F.expr("substring_index(x, v, 1)"), F.lit(True), F.lit(True)))
+    each = each.withColumns({"s": _pieces(F.col("x")), "v": _stripped(F.col("x"))}).withColumn("f", F.explode(F.when(n > 2, many).otherwise(whole)))
+    before = F.trim(F.when(F.col("f.first"), F.concat_ws(" ", "words", "f.left")).otherwise(F.col("f.left")))
+    return each.where("f.c <> ''").select("doc_id", F.col("i").cast("long").alias("word_no"), F.col("f.c").alias("candidate"), before.alias("before"), F.when(F.col("f.last"), F.col("next")).otherwise("").alias("after"), "path")
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: str = "source", report: float = REPORT) -> DataFrame:
-    """(doc_id, word_no, candidate, probability): what the forest takes for a secret, over whole texts.
+    """(doc_id, word_no, candidate, probability): what the forest takes for a secret, over whole texts; a word may
+    have several.
 
     The forest is trained on ``findings``, else on :func:`labelled_findings`. Null, empty and blank texts have no
     findings; null paths count as empty; rows that repeat are all scanned; extra columns are ignored.

@@ -286,6 +286,33 @@ def test_secret_scan(spark, docs, none, odd):
     secret_scan.scan(odd).collect()
 
 
+def test_secret_scan_within_words(spark):
+    key, other, uuid = "ghp_aB3dE5gH7jK9mN1pQ3rS5tU7vW9xY1zA3bC5", "ghp_Zq8Wx6Ec4Rv2Tb0Yn7Um5Ik3Ol1Pa9Sd2Fg4", "123e4567-e89b-12d3-a456-426614174000"
+    texts = {
+        1: f'see {{"id":"{uuid}","api_key":"{key}"}} there',
+        2: f"{uuid},{key},{other},x",
+        3: f"https://h.org/a?id={uuid}&token={key}&page=2",
+        4: "pwd=hunter2!x",
+        5: 'password="correct,horse&battery"',
+        6: f"api_key={key}",
+        7: 'a {"user":"me","password":"s3cr3t!pass","n":1} b',
+        8: "the token=abc was password= none",
+        9: None,
+    }
+    table = spark.createDataFrame([(d, t, "src/app.py") for d, t in texts.items()], "doc_id long, text string, source string")
+    got = defaultdict(list)
+    for r in secret_scan.candidates(table).orderBy("doc_id", "word_no").collect():
+        got[r.doc_id].append((r.word_no, r.candidate, r.before, r.after))
+    assert sorted(got[1]) == [(1, uuid, 'see {"id":"', ""), (1, key, '","api_key":"', "there")]
+    assert {x[1] for x in got[2]} == {uuid, key, other} and {x[2] for x in got[2]} == {"", ","}
+    assert {x[1] for x in got[3]} == {f"id={uuid}", key} and ("&token=" in {x[2] for x in got[3]})
+    assert got[4] == [(0, "hunter2!x", "pwd=", "")] and got[5] == [(0, "correct,horse&battery", 'password="', "")]
+    assert got[6] == [(0, key, "api_key=", "")] and got[7] == [(1, "s3cr3t!pass", 'a {"user":"me","password":"', "b")]
+    assert 8 not in got and 9 not in got
+    found = {(r.doc_id, r.candidate) for r in secret_scan.scan(table).collect()}
+    assert {(1, key), (2, key), (2, other), (3, key), (6, key)} <= found and not {(d, uuid) for d in texts} & found
+
+
 def test_license_scan(spark, docs, none, odd):
     model = license_scan.fit(license_scan.labelled_paragraphs(1500, 1))
     held = license_scan.labelled_paragraphs(400, 77)
