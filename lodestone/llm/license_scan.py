@@ -19,6 +19,7 @@ CONFIRM = 0.7
 #: Most n-grams that the classifier looks at.
 MOST_FEATURES = 240
 NO_WORD = r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 #: Notices by which licence families are declared.
 NOTICES = {
     "MIT": [
@@ -174,31 +175,57 @@ def _doubles(values: list[float]) -> str:
     return "array(" + ", ".join(f"{v!r}D" for v in map(float, values)) + ")"
 
 
-def scan(docs: DataFrame, model: Model | None = None, notices: dict[str, list[str]] | None = None, report: float = REPORT) -> DataFrame:
-    """(doc_id, paragraph_no, family, probability, template_share, confirmed) for paragraphs (lines) of whole texts whose
-    most likely class is a licence family with a probability above ``report``.
+def _grams(w: str) -> str:
+    """SQL of the hashes of the n-grams of an array of words."""
+    return f"concat(transform({w}, x -> xxhash64(x)), if(size({w}) > 1, transform(sequence(1, greatest(size({w}) - 1, 1)), i -> xxhash64(get({w}, i - 1), get({w}, i))), cast(array() as array<bigint>)))"
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """(doc_id, paragraph_no, n_lines, p): each line, then each run of two lines or more between lines without words."""
+    rows = docs.select("doc_id", F.split(F.translate("text", "\x01\x02", "  "), "\n", -1).alias("l"))
+    rows = rows.select("doc_id", "l", F.transform("l", lambda x: x.rlike(WORD)).alias("full"))
+    starts = lambda i: (i == 0) | ~F.get("full", i - 1)
+    marked = F.transform("l", lambda x, i: F.when(~F.get("full", i), "").when(starts(i), F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"), x)).otherwise(x))
+    runs = F.filter(F.transform(F.split(F.array_join(marked, "\n"), "\x01", -1), lambda x: F.rtrim(x, F.lit("\n"))), lambda x: F.contains(x, F.lit("\n")))
+    unit = lambda no, n, p: F.struct(no.cast("int").alias("paragraph_no"), n.cast("int").alias("n_lines"), p.alias("p"))
+    whole = F.transform(runs, lambda x: unit(F.substring_index(x, "\x02", 1), F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit(""))) + 1, F.substring_index(x, "\x02", -1)))
+    return rows.select("doc_id", F.explode(F.concat(F.transform("l", lambda x, i: unit(i, F.lit(1), x)), whole)).alias("u")).select("doc_id", "u.*")
 
-    template_share is the largest share of the n-grams of a template of that family that the paragraph has; confirmed
-    means CONFIRM of them. Null and blank texts have no paragraphs; rows that repeat are all scanned; extra columns are
-    ignored. Everything is computed where the row lies: there is no shuffle.
+
+def scan(docs: DataFrame, model: Model | None = None, notices: dict[str, list[str]] | None = None, report: float = REPORT) -> DataFrame:
+    """(doc_id, paragraph_no, n_lines, family, probability, template_share, confirmed) for lines and for paragraphs of
+    whole texts whose most likely class is a licence family with a probability above ``report``.
+
+    A paragraph is a run of ``n_lines`` lines, two or more, between lines without words, so that wrapped notices are
+    seen whole; paragraph_no is the number of its first line. Lines that confirm a template by themselves are findings
+    of their own, and the paragraph is scored without them. template_share is the largest share of the n-grams of a
+    template of that family that the line or paragraph has; confirmed means CONFIRM of them. Null and blank texts have
+    no paragraphs; rows that repeat are all scanned; extra columns are ignored. Everything is computed where the row
+    lies: there is no shuffle.
     """
     m, notices = model or own_model(), NOTICES if notices is None else notices
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph_no", "p"))
-    rows = rows.select("doc_id", "paragraph_no", F.array_remove(F.split(F.lower("p"), NO_WORD), "").alias("w"))
-    grams_of = "concat(transform(w, x -> xxhash64(x)), if(size(w) > 1, transform(sequence(1, greatest(size(w) - 1, 1)), i -> xxhash64(get(w, i - 1), get(w, i))), cast(array() as array<bigint>)))"
     features = _longs([_hash(g) for g in m.features])
-    rows = rows.select("doc_id", "paragraph_no", F.expr(grams_of).alias("grams"))
+    # for each family the n-grams of its templates
+    templates = "array(" + ", ".join("array(" + ", ".join(_longs([_hash(g) for g in grams(t)]) for t in notices.get(f) or [""]) + ")" for f in m.families) + ")"
+    key = ["doc_id", "paragraph_no", "n_lines"]
+    rows = _units(docs).select(*key, "p", F.array_remove(F.split(F.lower("p"), NO_WORD), "").alias("w"))
+    rows = rows.select(*key, "p", F.expr(_grams("w")).alias("grams"))
     # what follows filters inside of generators: a predicate that moves below them would be computed many times over
-    seen = F.explode(F.expr(f"filter(array(struct(grams, array_intersect(grams, {features}) as hits)), f -> size(f.hits) > 0)")).alias("f")
-    rows = rows.select("doc_id", "paragraph_no", seen).select("doc_id", "paragraph_no", "f.grams", F.expr(f"concat(transform(f.hits, h -> int(array_position({features}, h) - 1)), array({len(m.features)}))").alias("at"))
+    hits = f"filter(array(struct({{0}} as grams, array_intersect({{0}}, {features}) as hits)), f -> size(f.hits) > 0)"
+    rows = rows.select(*key, "p", F.explode(F.expr(hits.format("grams"))).alias("f"))
+    alone = f"size(array_intersect(s.g, {features})) > 0 and exists(flatten({templates}), t -> size(t) > 0 and size(array_intersect(s.g, t)) / size(t) >= {CONFIRM}D)"
+    each = f"transform(transform(split(p, '\\n', -1), l -> array_remove(split(lower(l), '{NO_WORD.replace(chr(92), chr(92) * 2)}'), '')), w -> struct(w, {_grams('w')} as g))"
+    rest = f"transform(array(transform(filter({each}, s -> not ({alone})), s -> s.w)), ws -> struct(size(ws) as n, flatten(ws) as w))[0]"
+    rows = rows.select(*key, "f", F.expr(f"if(n_lines > 1, {rest}, null)").alias("rest"))
+    again = f"if(n_lines = 1 or rest.n = n_lines, array(f), if(rest.n > 1, {hits.format('g')}, filter(array(f), x -> false)))"
+    rows = rows.select(*key, "f", "rest", F.expr(f"if(n_lines > 1 and rest.n between 2 and n_lines - 1, {_grams('rest.w')}, null)").alias("g"))
+    rows = rows.select(*key, F.explode(F.expr(again)).alias("f")).select(*key, "f.grams", F.expr(f"concat(transform(f.hits, h -> int(array_position({features}, h) - 1)), array({len(m.features)}))").alias("at"))
     weights = "array(" + ", ".join(_doubles(m.weights[:, k] / m.temperature) for k in range(len(m.families))) + ")"
-    rows = rows.select("doc_id", "paragraph_no", "grams", F.expr(f"transform({weights}, row -> aggregate(at, 0D, (a, i) -> a + get(row, i)))").alias("z"))
+    rows = rows.select(*key, "grams", F.expr(f"transform({weights}, row -> aggregate(at, 0D, (a, i) -> a + get(row, i)))").alias("z"))
     found = "named_struct('best', int(array_position(z, array_max(z)) - 1), 'probability', round(1D / aggregate(z, 0D, (a, v) -> a + exp(v - array_max(z))), 6))"
     named = F.explode(F.expr(f"filter(array({found}), f -> f.best > 0 and f.probability > {float(report)!r}D)")).alias("f")
-    rows = rows.select("doc_id", "paragraph_no", "grams", named)
-    # for each family the n-grams of its templates
-    templates = "array(" + ", ".join("array(" + ", ".join(_longs([_hash(g) for g in grams(t)]) for t in notices.get(f) or [""]) + ")" for f in m.families) + ")"
+    rows = rows.select(*key, "grams", named)
     share = f"array_max(transform(get({templates}, f.best), t -> size(array_intersect(grams, t)) / greatest(size(t), 1)))"
     names = "array(" + ", ".join(f"'{f}'" for f in m.families) + ")"
-    out = rows.select("doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), F.expr(f"get({names}, f.best)").alias("family"), "f.probability", F.round(F.expr(share), 6).alias("template_share"))
+    out = rows.select("doc_id", F.col("paragraph_no").cast("long").alias("paragraph_no"), "n_lines", F.expr(f"get({names}, f.best)").alias("family"), "f.probability", F.round(F.expr(share), 6).alias("template_share"))
     return out.withColumn("confirmed", F.col("template_share") >= CONFIRM)

@@ -337,6 +337,17 @@ def test_license_scan(spark, docs, none, odd):
     assert license_scan.scan(none).count() == 0 and license_scan.scan(odd).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    bsd = " * Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following conditions are met:"
+    apache = "you may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n    http://example.org"
+    single = "Released under the MIT License."
+    texts = [mit, f"def f():\n\n{bsd}\n\nend of it", f"x\n \n{apache}\n", f"{single}\n{bsd}", f"plain words\n{single}\nmore of it", f"{mit.replace(chr(10), chr(10) * 2)}", None, "\n\n", "a\nb"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph_no, r.n_lines, r.family) for r in license_scan.scan(table).where("confirmed").collect()}
+    assert got == {(0, 0, 2, "MIT"), (1, 2, 2, "BSD"), (2, 2, 3, "Apache-2.0"), (3, 0, 1, "MIT"), (3, 0, 3, "BSD"), (4, 1, 1, "MIT")}
+
+
 def test_chat(spark):
     said = ["", "a\\b", "<s></s>[INST][/INST]", "<\\s>", "\\<s>", "[\\\\/INST]", "<<s>>", None, "漢字 🙂", "\\" * 5, "x" * 50_000]
     for t in said:
