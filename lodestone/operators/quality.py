@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,59 @@ def cross_reference(rows: DataFrame, value: Column, key: str = "software") -> Da
     return top.select(key, F.col("m.value").alias("consensus"), differ.cast("long").alias("n_conflicts"), F.round(1 - differ / F.greatest(F.col("n") * (F.col("n") - 1) / 2, F.lit(1.0)), 6).alias("agreement"))
 
 
+def _first_values(rows: DataFrame, value: Column, key: str) -> DataFrame:
+    """(key, provider, value, seq): each provider's first value that is not empty, and the place of the provider's first row."""
+    rows = rows.select(key, "provider", "seq", value.alias("value"))
+    at = F.when(text.truthy(F.col("value")), F.col("seq"))
+    return rows.groupBy(key, "provider").agg(F.min_by("value", at).alias("value"), F.min("seq").alias("seq"), F.min(at).alias("_at")).where("_at is not null").drop("_at")
+
+
+def cross_reference_texts(rows: DataFrame, value: Column, key: str = "software", least: float = 0.5) -> DataFrame:
+    """(key, consensus, agreement, n_conflicts): pairs of providers whose first texts are less alike than ``least``; the
+    consensus is the text of the highest mean similarity to those that differ from it, the first one on ties.
+
+    Pairs are made within a key only, of one text for each provider; words are split and looked up once for each text.
+    """
+
+    def of(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["seq", "provider"])
+        texts, n = list(g["value"]), len(g)
+        places: list[dict[str, float]] = []
+        for t in texts:
+            w = t.lower().split()
+            first: dict[str, float] = {}
+            for i, x in enumerate(w):
+                first.setdefault(x, i / len(w))
+            places.append(first)
+        total, conflicts = [0.0] * n, 0
+        for i, a in enumerate(places):
+            for j in range(i):
+                b = places[j]
+                common = a.keys() & b.keys()
+                alike = 0.7 * len(common) / (len(a) + len(b) - len(common)) + 0.3 * sum(1 - abs(a[x] - b[x]) for x in common) / len(common) if common else 0.0
+                conflicts += round(alike, 9) < least
+                if texts[i] != texts[j]:
+                    total[i] += alike
+                    total[j] += alike
+        best = max(range(n), key=lambda i: (round(total[i], 9), -i))
+        return pd.DataFrame({key: [g[key].iloc[0]], "consensus": [texts[best]], "n_conflicts": [conflicts], "agreement": [round(1 - conflicts / max(1, n * (n - 1) / 2), 6)]})
+
+    each = _first_values(rows, value, key)
+    return each.groupBy(key).applyInPandas(of, f"{key} {each.schema[key].dataType.simpleString()}, consensus string, n_conflicts long, agreement double")
+
+
+def cross_reference_versions(rows: DataFrame, value: Column, key: str = "software") -> DataFrame:
+    """(key, consensus, agreement, n_conflicts): pairs of providers whose first versions have different major numbers,
+    counted from the sizes of the groups of equal ones; a version without a number conflicts with none. The consensus is
+    the latest version, the first one on ties."""
+    each = _first_values(rows, value, key).withColumn("k", text.version_key(F.col("value"))).withColumn("major", F.get("k", F.lit(0)))
+    by = each.groupBy(key, "major").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("k", (-F.col("seq")).alias("o"), "value")).alias("m"))
+    known = F.when(F.col("major").isNotNull(), F.col("n")).otherwise(0)
+    top = by.groupBy(key).agg(F.sum("n").alias("n"), F.sum(known).alias("known"), F.sum(known * known).alias("sq"), F.max("m").alias("m"))
+    differ = (F.col("known") * F.col("known") - F.col("sq")) / 2
+    return top.select(key, F.col("m.value").alias("consensus"), differ.cast("long").alias("n_conflicts"), F.round(1 - differ / F.greatest(F.col("n") * (F.col("n") - 1) / 2, F.lit(1.0)), 6).alias("agreement"))
+
+
 def source_reliability(rows: DataFrame) -> DataFrame:
     filled = sum((text.truthy(F.col(c)).cast("int") for c in ("name", "version", "description")), F.lit(0))
     out = rows.groupBy("provider").agg(F.sum(filled).alias("f"), F.count(F.lit(1)).alias("n"))

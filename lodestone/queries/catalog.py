@@ -237,6 +237,16 @@ def crossref_descriptions(c):
     return quality.cross_reference(c, F.col("description"))
 
 
+@_query("catalog")
+def crossref_versions_compatible(c):
+    return quality.cross_reference_versions(c, F.col("version"))
+
+
+@_query("catalog")
+def crossref_descriptions_similar(c):
+    return quality.cross_reference_texts(c, F.col("description"))
+
+
 @_query("catalog", f"SELECT provider, round(least({_QW} + 0.2e0 * f / (3 * n), 1), 6) reliability FROM (SELECT provider, sum((coalesce(name, '') <> '')::INT + (coalesce(version, '') <> '')::INT + (coalesce(description, '') <> '')::INT) f, count(*) n FROM catalog GROUP BY 1)")
 def source_reliability(c):
     return quality.source_reliability(c)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lodestone.functions import text
-from lodestone.operators import dataset, documents, search
+from lodestone.operators import dataset, documents, quality, search
+from lodestone.plans.views import view
 from lodestone.queries.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,34 @@ def test_split_and_balance(spark):
 def test_dedup_prefers_score_then_weight(spark):
     rows = spark.createDataFrame([(1, "nginx", "apt", 0.9), (2, "libnginx", "brew", 0.95), (3, "Nginx-dev", "apt", 0.95), (4, "httpd", "brew", 0.1)], "seq long, name string, provider string, score double")
     assert sorted(r.seq for r in search.dedup(rows).collect()) == [3, 4]
+
+
+def test_cross_references_of_alike_values(spark):
+    rows = [
+        (1, 1, "apt", "1.2.0", "a fast web server"),
+        (1, 2, "brew", "1.3.0", "a fast web server indeed"),
+        (1, 3, "npm", "2.0", "bindings for another thing"),
+        (1, 4, "apt", "9.0", "a later value of the first provider"),
+        (1, 5, "snap", "", ""),
+        (1, 6, "snap", "1.10.0", "a fast web server"),
+        (1, 7, "nix", "latest", None),
+        (2, 8, "apt", None, "one"),
+        (3, 9, "apt", None, None),
+        (4, 10, "apt", "1.0", "x y"),
+        (4, 11, "brew", "2.0", "p q"),
+    ]
+    c = spark.createDataFrame(rows, "software long, seq long, provider string, version string, description string")
+    got = {r.software: (r.consensus, r.n_conflicts, r.agreement) for r in quality.cross_reference_texts(c, F.col("description")).collect()}
+    assert got == {1: ("a fast web server indeed", 3, 0.5), 2: ("one", 0, 1.0), 4: ("x y", 1, 0.0)}
+    got = {r.software: (r.consensus, r.n_conflicts, r.agreement) for r in quality.cross_reference_versions(c, F.col("version")).collect()}
+    assert got == {1: ("2.0", 3, 0.7), 4: ("2.0", 1, 0.0)}
+
+
+def test_cross_referenced_descriptions_by_pairs(spark):
+    """Against the column function, which compares each pair by itself."""
+    c = QUERIES["crossref_descriptions_similar"](spark, SF)
+    first = quality._first_values(view(spark, SF, "catalog"), F.col("description"), "software")
+    a, b = first.alias("a"), first.alias("b")
+    pairs = a.join(b, "software").where("a.provider < b.provider").select("software", text.text_similarity(F.col("a.value"), F.col("b.value")).alias("s"))
+    want = {r.software: r.n for r in pairs.groupBy("software").agg(F.count_if(F.round("s", 9) < 0.5).alias("n")).collect()}
+    assert {r.software: r.n_conflicts for r in c.collect()} == want
