@@ -91,6 +91,56 @@ def duplicates(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
     return every.groupBy("name", "provider").agg(F.min(F.struct("at", "a", "similarity")).alias("m")).select("name", "provider", F.col("m.a").alias("first_name"), "m.similarity")
 
 
+def _packages(rows: DataFrame) -> DataFrame:
+    """(name, provider, seq, description): each package once, as its first row has it."""
+    return rows.groupBy("name", "provider").agg(F.min(F.struct("seq", "description")).alias("m")).select("name", "provider", "m.*")
+
+
+def _most_alike(a: Column, b: Column) -> Column:
+    """The most that the similarity of two texts can be: the sequence ratio as their lengths bound it, the rest as it is."""
+    d, e = text.trimmed(F.lower(a)), text.trimmed(F.lower(b))
+    m, k = F.char_length(d), F.char_length(e)
+    words = text.jaccard(F.array_distinct(text.words(d)), F.array_distinct(text.words(e)))
+    most = 0.8 * F.least(m, k) / (m + k) + F.when(F.contains(e, d), 0.3 * m / k).otherwise(0.0) + 0.2 * words + 0.1 * text.common_prefix(d, e) / F.greatest(m, k)
+    return F.when(d == e, 1.0).otherwise(F.coalesce(most, F.lit(0.0)))
+
+
+def alternatives(rows: DataFrame, name: str, provider: str | None = None, least: float = ALTERNATIVE) -> DataFrame:
+    """(name, provider, seq, similarity): packages that are like the first one of that ``name`` (and ``provider``), by
+    :func:`package_similarity`, most similar first. Descriptions are compared only where the rest can reach ``least``."""
+    p = _packages(rows).select(F.struct("name", "provider", "seq", "description").alias("b"))
+    of = (F.col("name") == name) & ((F.col("provider") == provider) if provider is not None else F.lit(True))
+    t = rows.where(of).agg(F.min_by(F.struct("name", "provider", "description"), "seq").alias("a")).where("a is not null")
+    other = p.crossJoin(F.broadcast(t)).where(~(F.col("a.name").eqNullSafe(F.col("b.name")) & F.col("a.provider").eqNullSafe(F.col("b.provider"))))
+    rest = 0.6 * text.similarity(F.col("a.name"), F.col("b.name")) + F.when(F.col("a.provider") == F.col("b.provider"), 0.1).otherwise(0.03)
+    able = other.where(rest + 0.3 * _most_alike(F.col("a.description"), F.col("b.description")) >= least - 1e-6)
+    scored = able.select("b.name", "b.provider", "b.seq", F.round(package_similarity("a", "b"), 6).alias("similarity"))
+    return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "seq")
+
+
+def described_duplicates(rows: DataFrame) -> DataFrame:
+    """(name, provider, first_name, first_provider, similarity): each distinct package that has an earlier one of at
+    least DUPLICATE by :func:`package_similarity`, with the first such.
+
+    What is left out before scores cannot reach it: with like descriptions and one provider 0.9 needs a name similarity
+    of 5/6, and names that differ have 0.8 at most unless they share a word (what white space separates) and the earlier
+    one is contained in the later one. So names meet by their words, and packages by such names.
+    """
+    p = _packages(rows)
+    n = p.select("name").where(text.truthy(F.col("name"))).distinct().withColumn("low", text.trimmed(F.lower("name")))
+    n = n.withColumn("k", F.explode(F.array_union(text.words(F.col("low")), F.array("low"))))
+    a, b = n.select("k", F.col("name").alias("x"), F.col("low").alias("lx")), n.select("k", F.col("name").alias("y"), F.col("low").alias("ly"))
+    names = a.join(b, "k").where(F.contains("ly", F.col("lx"))).select("x", "y").distinct()
+    names = names.withColumn("s", text.similarity(F.col("x"), F.col("y"))).where(F.col("s") >= (DUPLICATE - 0.4) / 0.6 - 1e-6)
+    one = lambda c: p.select(F.col("name").alias("_" + c), F.struct("name", "provider", "seq", "description").alias(c))
+    met = names.join(one("a"), F.col("x") == F.col("_a")).join(one("b"), F.col("y") == F.col("_b")).where("a.seq < b.seq")
+    rest = 0.6 * F.col("s") + F.when(F.col("a.provider") == F.col("b.provider"), 0.1).otherwise(0.03)
+    able = met.where(rest + 0.3 * _most_alike(F.col("a.description"), F.col("b.description")) >= DUPLICATE - 1e-6)
+    scored = able.select("a", "b", F.round(package_similarity("a", "b"), 6).alias("similarity")).where(F.col("similarity") >= DUPLICATE)
+    first = scored.groupBy("b.name", "b.provider").agg(F.min(F.struct("a.seq", "a.name", "a.provider", "similarity")).alias("m"))
+    return first.select("name", "provider", F.col("m.name").alias("first_name"), F.col("m.provider").alias("first_provider"), "m.similarity")
+
+
 def selection_score() -> Column:
     length = F.least(F.coalesce(F.char_length("description"), F.lit(0)) / 100, F.lit(1.0))
     return 0.3 * dims.lookup(F.col("provider"), "POPULARITY", 1) / 10 + 0.2 * length + F.when(text.truthy(F.col("version")), 0.2).otherwise(0.0) + 0.3 * F.col("score")

@@ -69,7 +69,7 @@ def suggest(c):
 
 @_query("catalog")
 def find_alternatives(c):
-    return search.find_matches(c, "python-pkg_en-dev1", search.ALTERNATIVE, None)
+    return search.alternatives(c, "python-pkg_en-dev1")
 
 
 @_query("catalog")

@@ -119,3 +119,35 @@ def test_cross_referenced_descriptions_by_pairs(spark):
     pairs = a.join(b, "software").where("a.provider < b.provider").select("software", text.text_similarity(F.col("a.value"), F.col("b.value")).alias("s"))
     want = {r.software: r.n for r in pairs.groupBy("software").agg(F.count_if(F.round("s", 9) < 0.5).alias("n")).collect()}
     assert {r.software: r.n_conflicts for r in c.collect()} == want
+
+
+def test_packages_are_compared_with_their_descriptions(spark):
+    long = "a fast web server that serves pages over the network"
+    rows = [
+        (1, "nginx", "apt", long),
+        (2, "nginx", "brew", long),
+        (3, "nginx", "npm", "bindings"),
+        (4, "Nginx", "snap", long.upper()),
+        (5, "nginx", "apt", "bindings"),
+        (6, "web server", "apt", long),
+        (7, "web server pro", "apt", long),
+        (8, "open-ssl", "apt", long),
+        (9, "openssl", "apt", long),
+        (10, "nginx", "nix", None),
+        (11, None, "apt", long),
+    ]
+    c = spark.createDataFrame(rows, "seq long, name string, provider string, description string")
+    first = {(n, p): (s, d) for s, n, p, d in reversed(rows)}
+    p = spark.createDataFrame([(s, n, q, d) for (n, q), (s, d) in first.items()], "seq long, name string, provider string, description string")
+    a, b = p.select(F.struct("*").alias("a")), p.select(F.struct("*").alias("b"))
+    every = [(x.a, x.b, round(x.s, 6)) for x in a.crossJoin(b).select("a", "b", F.coalesce(search.package_similarity("a", "b"), F.lit(0.0)).alias("s")).collect()]
+    want = {}
+    for x, y, s in sorted(every, key=lambda t: -t[0].seq):
+        if x.seq < y.seq and s >= 0.9:
+            want[y.name, y.provider] = (x.name, x.provider, s)
+    got = {(r.name, r.provider): (r.first_name, r.first_provider, r.similarity) for r in search.described_duplicates(c).collect()}
+    assert got == want and {("nginx", "brew"), ("Nginx", "snap")} <= set(got) and not {("nginx", "npm"), ("nginx", "nix"), ("openssl", "apt")} & set(got)
+    got = [tuple(r) for r in search.alternatives(c, "nginx").collect()]
+    assert sorted(got) == sorted((y.name, y.provider, y.seq, s) for x, y, s in every if x.seq == 1 and y.seq != 1 and s >= 0.5)
+    assert [r[2] for r in got] == [x[2] for x in sorted(got, key=lambda r: (-r[3], r[2]))] and got[0][:2] == ("nginx", "brew")
+    assert search.alternatives(c, "nginx", "npm").count() and not search.alternatives(c, "none").count()
