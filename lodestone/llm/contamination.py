@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_lower, cut, without
+from lodestone.llm.common import BROADCAST_BYTES, KEY, ascii_lower, cut, in_memory_bytes, row_key, small, table, without
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
-#: Most distinct windows of the benchmark that are broadcast (about 200 MB); beyond it hashes are shuffled, without words.
-BROADCAST_WINDOWS = 400_000
+#: Most bytes of the windows of the benchmark that one pass over the documents broadcasts: more windows take more passes.
+PASS_BYTES = BROADCAST_BYTES
 #: Fixed value of the contract: all that is not part of a word.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word, before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -45,72 +47,103 @@ def _hashed(rows: DataFrame, sizes: list[int]) -> DataFrame:
     return rows.drop(*(f"x{2**k}" for k in range(12)))
 
 
-def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(hash, len, window, items): each distinct window of ``benchmark`` (item_id, text) with the ids that have it.
+def windows(benchmark: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(hash, len, sha, window), a row for each distinct window of ``benchmark`` (item_id, text), and (window, item), its
+    items; both computed once. All columns but the item have a fixed width: the words of a window are not kept.
 
     An item of fewer words, but not none, is one window. Items without id, text or words are ignored.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(size)))
     items = items.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)))
-    runs = items.select("item", "len", F.slice("w", F.col("i"), F.col("len")).alias("w")).groupBy("len", "w").agg(F.collect_set("item").alias("items"))
     sizes = list(range(1, size + 1))
-    hashes = _hashed(runs, sizes)
+    hashes = _hashed(items.select("item", "len", F.slice("w", F.col("i"), F.col("len")).alias("w")), sizes)
     own = F.coalesce(*(F.when(F.col("len") == k, F.get(f"r{k}", F.lit(0))) for k in sizes))
-    return hashes.select(own.alias("hash"), "len", F.col("w").alias("window"), "items")
+    each = cut(hashes.select("item", "len", own.alias("hash"), _sha(F.col("w")).alias("sha")).distinct())
+    distinct = cut(each.select("hash", "len", "sha").distinct().withColumn("window", F.monotonically_increasing_id()))
+    return distinct, cut(each.join(distinct, ["hash", "len", "sha"]).select("window", "item"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated), one row per document; extra columns are ignored.
+def _sha(words: Column) -> Column:
+    """32 bytes that verify a run of words; words hold no spaces."""
+    return F.unhex(F.sha2(F.array_join(words, " "), 256))
 
-    A word inside any occurrence of a window is hit; a document is contaminated if it has a hit and 20 n_hit >= n_words.
-    Null and blank texts have no words and no hits. Rows that repeat wholly are returned once; rows that share a doc_id,
-    null too, but not their text are told apart. An empty benchmark hits nothing; empty documents give no rows.
-
-    The windows are broadcast behind a check of their number. Hashes of all runs of words of a document are exploded,
-    probed and verified word by word within one stage, so that only hits leave it, with one row of length 0 for each
-    document, the empty window, which keeps those without hits. What is grouped afterwards is one document's hits.
-    Windows beyond the bound meet the hashes in a shuffle that carries no words; those that meet go back to their
-    documents, by id and digests, to be verified there.
+
+def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key_id, key_1, key_2, doc_id, n, pos, len, window), computed once: each occurrence of a window (``found``, of
+    :func:`windows`) in a row of ``docs`` of n words.
+
+    The windows are broadcast, in as many parts and passes over the documents as their bytes need, so that documents are
+    never shuffled. Hashes of all runs of words are exploded, probed and verified within one stage: only hits leave it.
     """
-    table = cut(windows(benchmark, size))
-    lens = [r[0] for r in table.select("len").distinct().collect()]  # of 13 values at most
-    lens.sort(reverse=True)
-
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    split = text.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), words_of(F.col("text")).alias("w"))
-    split = _hashed(split, lens)
-    runs = split.select("doc_id", "h1", "h2", "w", F.size("w").alias("n"), F.concat(F.array(F.lit(0).cast("long")), *(f"r{k}" for k in lens)).alias("runs"))
-    first, base = F.lit(0), F.lit(1)  # of the runs of the window's length
+    lens = sorted((r[0] for r in found.select("len").distinct().collect()), reverse=True)  # 13 values at most
+    split = _hashed(docs.select(*row_key(), "doc_id", words_of(F.col("text")).alias("w")), lens)
+    none = F.expr("cast(array() as array<bigint>)")
+    runs = split.select(*KEY, "doc_id", "w", F.size("w").alias("n"), F.concat(none, *(f"r{k}" for k in lens)).alias("runs"))
+    # an inner generator would have Spark compute the runs once more, for a filter of those without any
+    each = runs.select(*KEY, "doc_id", "w", "n", F.posexplode_outer("runs").alias("at", "run"))
+    first, base = F.lit(0), F.lit(0)  # of the runs of the window's length
     for k in lens:
         first = F.when(F.col("len") == k, base).otherwise(first)
         base = base + F.greatest(F.col("n") - (k - 1), F.lit(0))
-    same = F.slice("w", F.col("pos") + 1, F.col("len")) == F.col("window")
-    if table.count() <= BROADCAST_WINDOWS:
-        empty = table.sparkSession.range(1).selectExpr("0L hash", "0 len", "cast(array() as array<string>) window", "cast(array() as array<string>) items")
-        # no array is empty; an inner generator would have Spark compute them once more for a filter
-        each = runs.select("doc_id", "h1", "h2", "w", "n", F.posexplode_outer("runs").alias("at", "run"))
-        met = each.join(F.broadcast(table.union(empty)), F.col("run") == F.col("hash")).withColumn("pos", F.col("at") - first)
-        met = met.where((F.col("pos") >= 0) & same & ((F.col("len") > 0) | (F.col("at") == 0)))
-    else:
-        each = runs.select("doc_id", "h1", "h2", "n", F.posexplode_outer("runs").alias("at", "run"))
-        near = each.join(table, F.col("run") == F.col("hash")).withColumn("pos", F.col("at") - first).where("pos >= 0")
-        near = near.groupBy(F.col("doc_id").alias("_d"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.collect_set(F.struct("pos", "len", "window", "items")).alias("near"))
-        own = (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-        none = F.expr("array(named_struct('pos', 0, 'len', 0, 'window', cast(array() as array<string>), 'items', cast(array() as array<string>)))")
-        both = text.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), words_of(F.col("text")).alias("w")).join(near, own, "left")
-        met = both.select("doc_id", "h1", "h2", "w", F.size("w").alias("n"), F.explode(F.when(F.col("near").isNull(), none).otherwise(F.concat(none, "near"))).alias("x"))
-        met = met.select("doc_id", "h1", "h2", "w", "n", "x.*").where(same)
-    found = met.groupBy("doc_id", "h1", "h2", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    same = _sha(F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("len"))) == F.col("sha")
+    passes = max(1, -(-in_memory_bytes(found) // PASS_BYTES))
+    out = None
+    for i in range(passes):
+        part = found if passes == 1 else found.where(F.pmod("hash", F.lit(passes)) == i)
+        met = each.join(F.broadcast(part), F.col("run") == F.col("hash")).withColumn("pos", F.col("at") - first)
+        met = table(met.where((F.col("pos") >= 0) & same).select(*KEY, "doc_id", "n", "pos", "len", "window"))
+        out = met if out is None else out.union(met)
+    return out
+
+
+def _hit_words(found: DataFrame) -> DataFrame:
+    """(KEY, doc_id, n, n_hit) of rows with hits: the union of the spans of each, in order."""
+    spans = found.groupBy(*KEY, "doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("pos", "len"))).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit")),
         lambda a, s: F.struct(F.greatest(a["end"], s["pos"] + s["len"]).alias("end"), (a["hit"] + F.greatest(s["pos"] + s["len"] - F.greatest(a["end"], s["pos"]), F.lit(0))).alias("hit")),
     )["hit"]
-    out = found.select("doc_id", F.col("n").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+    return spans.select(*KEY, "doc_id", "n", covered.cast("long").alias("n_hit"))
+
+
+def _contaminated(n_hit: Column, n: Column) -> Column:
+    return (n_hit > 0) & (SHARE * n_hit >= n)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    return without(docs, cut(scan(docs, benchmark).where("contaminated").select("doc_id").distinct()))
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items, contaminated), one row for each row of ``docs``, equal rows too; extra
+    columns are ignored.
+
+    A word inside any occurrence of a window is hit; a document is contaminated if it has a hit and 20 n_hit >= n_words.
+    Null and blank texts have no words and no hits; a null doc_id is returned as it is. Rows that share a doc_id, or have
+    none, are judged by their own texts. An empty benchmark hits nothing; empty documents give no rows.
+
+    Hits are grouped by row, then distinct pairs of row and item; what is found goes back to the rows by their key, as a
+    broadcast if it is small.
+    """
+    found, of = windows(benchmark, size)
+    met = hits(docs, found)
+    items = met.select(*KEY, "window").distinct().join(small(of), "window").select(*KEY, "item").distinct()
+    items = items.groupBy(*(F.col(k).alias(f"_{k}") for k in KEY)).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    same = F.lit(True)
+    for k in KEY:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    judged = _hit_words(met).join(items, same).select(*(F.col(k).alias(f"_{k}") for k in KEY), "n_hit", "items")
+    judged = small(cut(judged))
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    out = docs.select(*row_key(), "doc_id", n.alias("n_words")).join(judged, same, "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), _contaminated(n_hit, F.col("n_words")).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs``, with all its columns, without the rows that :func:`scan` calls contaminated.
+
+    Rows are judged one by one, those that share a doc_id or have none too; null and blank texts stay; equal rows go or
+    stay together. An empty benchmark drops nothing; empty documents give no rows.
+    """
+    met = hits(docs, windows(benchmark, size)[0])
+    return without(docs, cut(_hit_words(met).where(_contaminated(F.col("n_hit"), F.col("n"))).select(*KEY)))

@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, small, without
+from lodestone.llm.common import KEY, cut, row_key, small, without
 from lodestone.llm.simhash import fingerprint
 from lodestone.session import in_arrow
 
 #: Most labelled rows that the document classifier is fitted on: those with the least hash of their doc_id.
 TRAIN_ROWS = 6000
+#: Most bytes of their texts, which the driver collects; of more, those with the least hashes.
+TRAIN_BYTES = 64_000_000
 #: Most stems that each of the two heads looks for, and the least evidence (a log-likelihood ratio) of each.
 MOST_STEMS, LEAST_G = 60, 40.0
 #: The least evidence of a stem among documents that those before it have left.
@@ -165,12 +167,21 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
     """The document classifier, fitted on the driver on at most ``train_rows`` labelled documents (doc_id, quality, toxic).
 
-    Labels with a null count for neither head. Without labelled documents of both kinds a head says 0.
+    Labels with a null count for neither head. Without labelled documents of both kinds a head says 0. Texts beyond
+    TRAIN_BYTES in all are left out whole, those with the greatest hashes of their doc_id first.
     """
     chosen = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("doc_id"))
-    rows = rows.select("_d", F.coalesce("_t", F.lit("")), "quality", "toxic").limit(2 * train_rows).collect()
+    chosen = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(train_rows)
+    rows = docs.select(F.col("doc_id").alias("_d"), F.coalesce("text", F.lit("")).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("doc_id"))
+    rows = cut(rows.select("h", "_d", "_t", "quality", "toxic").orderBy("h", "_d", "_t").limit(2 * train_rows))
+    total, last = 0, None
+    for h, n in sorted(tuple(r) for r in rows.select("h", F.octet_length("_t")).collect()):  # 2 * train_rows numbers at most
+        total += n
+        if total > TRAIN_BYTES and last is not None:
+            rows = rows.where(F.col("h") <= last)
+            break
+        last = h
+    rows = rows.select("_d", "_t", "quality", "toxic").collect()
     rows.sort(key=lambda r: (r[0], r[1]))
     rows = [rows[i] for i in distinct_rows([r[1] for r in rows])]
     base = [dense(r[1]) for r in rows]
@@ -189,21 +200,24 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Cla
 
 
 def evidence(docs: DataFrame, classifier: Classifier, host: str = "source", path: str = "lang") -> DataFrame:
-    """(doc_id, host, path, p): the document's own probability of being bad. Null hosts and paths are values of their own."""
+    """(key_id, key_1, key_2, doc_id, host, path, p): the document's own probability of being bad. Null hosts and paths
+    are values of their own; the key is that of the row with its host and path."""
+    kept = [*KEY, "doc_id", "host", "path"]
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                p = [classifier.bad(t) for t in part.column(3).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(p, pa.float64())], ["doc_id", "host", "path", "p"])
+                p = [classifier.bad(t) for t in part.column(len(kept)).to_pylist()]
+                yield pa.record_batch([*(part.column(i) for i in range(len(kept))), pa.array(p, pa.float64())], [*kept, "p"])
 
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (host, path)]
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), *site, "text"), run, "doc_id long, host string, path string, p double")
+    return in_arrow(docs.select(*row_key(host, path), F.col("doc_id").cast("long"), *site, "text"), run, "key_id long, key_1 long, key_2 long, doc_id long, host string, path string, p double")
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """``scored`` (doc_id, host, path, p: computed once) with the posterior ``q`` of a bad document.
+    """``scored`` (host, path, p and what else it has: computed once) with the rate of its site and the posterior ``q`` of
+    a bad document.
 
     Sums by path, added up by host and in all, give the rates. Each level is a beta prior for the one below; its strength
     is estimated from the variance of the rates one level down (method of moments), so that sparse sites shrink to their
@@ -228,7 +242,7 @@ def posteriors(scored: DataFrame) -> DataFrame:
     site = (F.col("path_s") - F.col("p") + b * host) / (F.col("path_n") - 1 + b)
     odds = lambda x: F.log(F.greatest(F.least(x, F.lit(1 - 1e-9)), F.lit(1e-9)) / (1 - F.greatest(F.least(x, F.lit(1 - 1e-9)), F.lit(1e-9))))
     logit = odds(F.col("p")) + odds(site) - math.log(rate / (1 - rate))
-    return scored.join(sites, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p"))).select("doc_id", "host", "path", "p", site.alias("site_rate"), (1 / (1 + F.exp(-logit))).alias("q"))
+    return scored.join(sites, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p"))).select(*scored.columns, site.alias("site_rate"), (1 / (1 + F.exp(-logit))).alias("q"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", reject: float = REJECT) -> DataFrame:
@@ -237,10 +251,19 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Null and empty texts are judged by their (empty) features; null hosts and paths are sites of their own; rows that
     repeat are all returned; extra columns are ignored. Empty documents give no rows; without labels all are kept.
     """
-    scored = cut(evidence(docs, fit(docs, labels), host, path))
-    return posteriors(scored).withColumn("kept", F.col("q") <= reject)
+    return _classified(docs, labels, host, path, reject).select("doc_id", "host", "path", "p", "site_rate", "q", "kept")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, host: str, path: str, reject: float) -> DataFrame:
+    return posteriors(cut(evidence(docs, fit(docs, labels), host, path))).withColumn("kept", F.col("q") <= reject)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`classify` rejects."""
-    return without(docs, cut(classify(docs, labels).where("not kept").select("doc_id").distinct()))
+def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", reject: float = REJECT) -> DataFrame:
+    """``docs``, with all its columns, without the rows that :func:`classify` rejects.
+
+    Rows go by doc_id, text, host and path, so that rows that share a doc_id or have none are judged one by one; equal
+    rows go or stay together; null and empty texts are judged by their features. Without labels all stay; empty documents
+    give no rows.
+    """
+    found = _classified(docs, labels, host, path, reject)
+    return without(docs, cut(found.where("not kept").select(*KEY).distinct()), host, path)

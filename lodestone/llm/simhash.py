@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, cut, small, without
+from lodestone.llm.common import KEY, components, cut, row_key, small, table, without
 from lodestone.session import in_arrow
 
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
@@ -20,6 +20,17 @@ _BALL = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(32, dt
 #: Five blocks of a 32-bit segment: of two segments that differ in 4 bits at most, one block is equal.
 _BLOCKS = [(0, 7), (7, 7), (14, 6), (20, 6), (26, 6)]
 
+#: Near duplicates by similarity: words of a shingle, least Jaccard similarity of the sets of shingles.
+WORDS, SIMILAR = 5, 0.8
+#: Their fingerprints: four words of 64 bits, cut into segments of so many bits. Texts of that similarity differ in 15 %
+#: of all bits or fewer on average: one of the segments differs in 2 bits at most for 94 of 100 pairs or more.
+SEGMENT, SEGMENTS = 28, 9
+#: Most differing bits of one word of 64, and of all four, of pairs that are compared shingle by shingle: more than three
+#: standard deviations above that average.
+WORD_BITS, ALL_BITS = 19, 58
+#: In buckets of more different texts only the links of a spanning forest are compared at first.
+LARGE_BUCKET = 32
+
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of ``text``: words between ASCII white space, A-Z lower-cased; no words give 0."""
@@ -157,7 +168,218 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most_bits: int = MO
     return prints.join(roots, F.col("fp") == F.col("_fp"), "left").select("doc_id", hexed, "component_id")
 
 
+def shingle_hashes(text: str | None, size: int = WORDS) -> np.ndarray:
+    """XXH64 of each run of ``size`` words (fewer words: of all; none: no hash), words as in :func:`fingerprint`."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h, join = xxhash.xxh64_intdigest, b" ".join
+    return np.array([h(join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64)
+
+
+def long_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """Four words of 64 bits: SimHashes of the distinct ``shingles``, remixed for each word; no shingles give zeros."""
+    shingles, out = np.unique(shingles), np.zeros(4, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(4 if len(shingles) else 0):
+            x = (shingles + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(32)
+            ones = np.zeros(64, np.int64)
+            for i in range(0, len(x), 65536):  # a very long text is counted in pieces
+                ones += np.unpackbits(x[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            out[k] = int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big")
+    return out
+
+
+def _long_fingerprints(batches):
+    """Of each text two digests of its words and the four words of its fingerprint; the columns before it pass."""
+    names = [*KEY, "doc_id", "t1", "t2", "f0", "f1", "f2", "f3"]
+    for b in batches:
+        out = []
+        for t in b.column(4).to_pylist():
+            said = b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())
+            d = xxhash.xxh3_128_intdigest(said)
+            out.append([d >> 64, d & (2**64 - 1), *long_fingerprint(shingle_hashes(t)).tolist()])
+        columns = np.array(out, np.uint64).reshape(-1, 6).view(np.int64).T
+        yield pa.record_batch([*(b.column(i) for i in range(4)), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names)
+
+
+def _segment(f: list[np.ndarray], i: int) -> np.ndarray:
+    """Bits of segment ``i`` of fingerprints of four words."""
+    word, at = divmod(SEGMENT * i, 64)
+    value = f[word] >> np.uint64(at)
+    if at + SEGMENT > 64:
+        value = value | (f[word + 1] << np.uint64(64 - at))
+    return value & np.uint64((1 << SEGMENT) - 1)
+
+
+def _ball_rows(batches):
+    """For each segment of each fingerprint its value and those within 1 bit as table keys, with a word of the
+    fingerprint from elsewhere, and the node with the place of the changed bit (0: none) in its lowest 5 bits."""
+    masks = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(SEGMENT, dtype=np.uint64)])
+    for b in batches:
+        for at in range(0, b.num_rows, 4096):
+            part = b.slice(at, 4096)
+            node, f = part.column(0).to_numpy(), [part.column(k).to_numpy().view(np.uint64) for k in range(1, 5)]
+            marked = ((node[:, None] << 5) | np.arange(len(masks))[None, :]).ravel()
+            for i in range(SEGMENTS):
+                keys = ((_segment(f, i)[:, None] ^ masks[None, :]) | np.uint64(i << 32)).ravel()
+                word = f[(SEGMENT * i // 64 + 2) % 4].view(np.int64)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(word, len(masks))), pa.array(marked)], ["key", "word", "marked"])
+
+
+def _bucket_pairs(key: int, word: np.ndarray, marked: np.ndarray, group: np.ndarray | None, large: int):
+    """Pairs of nodes of one bucket whose words are close, and whether the bucket is large.
+
+    Equal segments share all keys of their ball: they are paired only where both are unchanged. With ``group`` only nodes
+    of different groups are paired, whatever the bucket's size; else a large bucket gives a spanning forest.
+    """
+    at, node = marked & 31, marked >> 5
+    if group is None and len(node) > large:
+        return _forest(word, node, WORD_BITS), True
+    value = (key & ((1 << SEGMENT) - 1)) ^ np.where(at > 0, np.int64(1) << np.maximum(at - 1, 0), 0)
+    ask = np.arange(len(node) - 1)
+    if group is not None:  # all but the members of the largest group ask all others
+        ids, n = np.unique(group, return_counts=True)
+        ask = np.flatnonzero(group != ids[n.argmax()])
+    pairs = []
+    for i in ask.tolist():
+        to = slice(i + 1, None) if group is None else slice(None)
+        near = (np.bitwise_count(word[to] ^ word[i]) <= WORD_BITS) & ((value[to] != value[i]) | ((at[to] == 0) & (at[i] == 0)))
+        if group is not None:
+            near &= group != group[i]
+        pairs += [(int(node[i]), int(j)) for j in node[to][near]]
+    return pairs, False
+
+
+def _candidates(large: int, grouped: bool):
+    def run(batches):
+        """(a, b) with a < b, and (null, key) for large buckets. Rows come sorted by key; a bucket that a batch cuts off
+        is carried over."""
+        rest = None
+        for b in batches:
+            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+            starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+            rest = [x[starts[-1] :] for x in columns]
+            yield from found(starts, columns)
+        if rest is not None and len(rest[0]) > 1:
+            yield from found(np.array([0, len(rest[0])]), rest)
+
+    def found(starts, columns):
+        key, word, marked = columns[0], columns[1].view(np.uint64), columns[2]
+        sizes, at = np.diff(starts), marked & 31
+        starts = starts[:-1]
+        if not len(starts):
+            return
+        end = starts[-1] + sizes[-1]
+        least, most = np.minimum.reduceat(at[:end], starts), np.maximum.reduceat(at[:end], starts)
+        full = (sizes > 1) & ((least != most) | (least == 0))  # else all have one segment, and are paired elsewhere
+        pairs, hot = [], []
+        for s, n in zip(starts[full].tolist(), sizes[full].tolist(), strict=True):
+            own, is_large = _bucket_pairs(int(key[s]), word[s : s + n], marked[s : s + n], columns[3][s : s + n] if grouped else None, large)
+            pairs += own
+            if is_large:
+                hot.append(int(key[s]))
+        if pairs or hot:
+            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+            first = pa.concat_arrays([pa.array(np.minimum(a, b)), pa.nulls(len(hot), pa.int64())])
+            yield pa.record_batch([first, pa.array(np.concatenate([np.maximum(a, b), np.array(hot, np.int64)]))], ["a", "b"])
+
+    return run
+
+
+def _by_bucket(rows: DataFrame, large: int, grouped: bool = False) -> DataFrame:
+    return in_arrow(rows.repartition("key").sortWithinPartitions("key"), _candidates(large, grouped), "a long, b long")
+
+
+def _shingle_sets(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
+            sets = [np.unique(shingle_hashes(t)).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts' sets of shingles have the similarity; only texts of pairs are shuffled."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    sets = table(in_arrow(texts.join(named, F.col("node") == F.col("n"), "left_semi").select("node", "text"), _shingle_sets, "node long, shingles array<long>"))
+    one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return cut(pairs.join(one("a"), "a").join(one("b"), "b").where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, large: int = LARGE_BUCKET) -> DataFrame:
+    """(key_id, key_1, key_2, doc_id, node, root), computed once: for each row of ``docs`` (doc_id, text) the node of its
+    distinct text and the group of its near duplicates, texts that are linked by a similarity of SIMILAR or more.
+
+    Texts with the same words, between ASCII white space, A-Z lower-cased, are one node, however many rows have them;
+    null and blank texts are one. Candidates meet by multi-index hashing: the segments of long fingerprints enumerate
+    their balls of radius 1, equal keys meet, words of the fingerprints and then whole fingerprints are compared. What is
+    left is verified by its shingles: first each text with its closest earlier one, then those pairs that this has not
+    joined, and with them all pairs of large buckets between texts not joined yet. So a group of many near copies costs
+    one comparison for each of them, and no link that a bucket holds is lost.
+    """
+    rows = cut(in_arrow(docs.select(*row_key(), F.col("doc_id").cast("long"), "text"), _long_fingerprints, "key_id long, key_1 long, key_2 long, doc_id long, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long"))
+    prints = [f"f{k}" for k in range(4)]
+    sample = F.min(F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), *KEY)).alias("m")  # the row that has the text
+    nodes = cut(rows.groupBy("t1", "t2").agg(*(F.min(f).alias(f) for f in prints), sample).withColumn("node", F.monotonically_increasing_id()))
+    keyed = in_arrow(nodes.select("node", *prints), _ball_rows, "key long, word long, marked long")
+    met = cut(_by_bucket(keyed, large).distinct())
+    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f).alias(f"{c}{f}") for f in prints))
+    bits = F.lit(0)
+    for f in prints:
+        bits = bits + F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}")))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """(a, b, bits) of pairs whose whole fingerprints are close."""
+        return cut(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", bits).where(F.col("bits") <= ALL_BITS).select("a", "b", "bits"))
+
+    near = close(met.where("a is not null"))
+    owners = nodes.select("node", *(F.col(f"m.{k}").alias(f"_{k}") for k in KEY))
+    named = near.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    same = (F.col(KEY[0]) == F.col(f"_{KEY[0]}")) & (F.col(KEY[1]) == F.col(f"_{KEY[1]}")) & (F.col(KEY[2]) == F.col(f"_{KEY[2]}"))
+
+    def texts(of: DataFrame) -> DataFrame:
+        wanted = small(cut(owners.join(of, F.col("node") == F.col("n"), "left_semi")))
+        return docs.select(*row_key(), "text").join(wanted, same).select("node", "text").dropDuplicates(["node"])
+
+    first = near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
+    linked = _similar(cut(first), texts(named))
+    joined = cut(components(linked)) if linked.count() else linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    group = lambda c: joined.select(F.col("node").alias(f"{c}n"), F.col("root").alias(f"{c}r"))
+    apart = lambda p: p.join(group("a"), F.col("a") == F.col("an"), "left").join(group("b"), F.col("b") == F.col("bn"), "left").where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b")
+    left = apart(near.select("a", "b")).join(first, ["a", "b"], "left_anti")
+    hot = met.where("a is null").select(F.col("b").alias("hot"))
+    if hot.limit(1).count():
+        hot_rows = cut(keyed.join(small(cut(hot)), F.col("key") == F.col("hot"), "left_semi"))
+        hot_rows = hot_rows.withColumn("node", F.shiftright("marked", 5)).join(joined.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
+        more = _by_bucket(hot_rows.select("key", "word", "marked", F.coalesce("root", "node").alias("root")), large, True).distinct()
+        left = left.union(close(more).select("a", "b").join(first, ["a", "b"], "left_anti")).distinct()
+    left = cut(left)
+    if left.limit(1).count():
+        linked = linked.union(_similar(left, texts(left.select(F.explode(F.array("a", "b")).alias("n")).distinct())))
+    found = components(linked)
+    of = nodes.join(found, "node", "left").select("t1", "t2", "node", F.coalesce("root", "node").alias("root"))
+    return cut(rows.join(of, ["t1", "t2"]).select(*KEY, "doc_id", "node", "root"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of least doc_id of each component; rows with a null doc_id stay."""
-    found = near_duplicates(docs)
-    return without(docs, cut(found.where("doc_id <> component_id").select("doc_id").distinct()))
+    """``docs``, with all its columns, with one row of each group of :func:`similar_groups`: that of least doc_id.
+
+    Null and blank texts are near duplicates of each other. A row without id stays only if its group has no row with one;
+    of several the one with the least key. Rows that repeat with their doc_id and text go or stay together. Empty
+    documents give no rows.
+    """
+    found = similar_groups(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), *KEY)
+    best = found.groupBy(F.col("root").alias("_root")).agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = small(cut(best.select("_root", *(F.col(f"best.{k}").alias(f"_{k}") for k in KEY))))
+    differ = (F.col(KEY[0]) != F.col(f"_{KEY[0]}")) | (F.col(KEY[1]) != F.col(f"_{KEY[1]}")) | (F.col(KEY[2]) != F.col(f"_{KEY[2]}"))
+    later = found.join(best, F.col("root") == F.col("_root")).where(differ)
+    return without(docs, cut(later.select(*KEY).distinct()))

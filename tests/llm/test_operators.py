@@ -84,7 +84,7 @@ def test_simhash_odd(odd, none):
     assert by[2][1:] == by[3][1:] == by[4][1:] == ("0" * 16, 2)
     assert by[1][2] == by[5][2] == by[None][2] == 1 and sum(r[0] == 7 for r in got) == 2
     assert simhash.near_duplicates(none).count() == 0 and simhash.dedup(none).columns == none.columns
-    assert sorted(str(r.doc_id) for r in simhash.dedup(odd).collect()) == ["1", "2", "6", "7", "7", "None"]
+    assert sorted(str(r.doc_id) for r in simhash.dedup(odd).collect()) == ["1", "2", "6", "7", "7"] and simhash.dedup(odd).columns == odd.columns
 
 
 def test_links_with_hot_buckets(spark, monkeypatch):
@@ -123,7 +123,7 @@ def test_exact(odd, none):
     got = {r[0]: tuple(r)[1:4] for r in exact.exact_duplicates(odd).collect()}
     assert got[1] == (1, 2, True) and got[None] == (1, 2, False) and got[7] == (7, 2, True)
     assert got[4] == (4, 3, True) and got[2] == got[3] == (4, 3, False)
-    assert exact.exact_duplicates(none).count() == 0 and exact.dedup(odd).count() == 7  # a row without id stays
+    assert exact.exact_duplicates(none).count() == 0 and exact.dedup(odd).count() == 6 and exact.dedup(odd).columns == odd.columns
 
 
 def test_contamination_odd(spark, odd, none):
@@ -133,14 +133,15 @@ def test_contamination_odd(spark, odd, none):
     assert got[2] == got[3] == got[4] == (0, 0, [], False) and got[7][1] == 0
     assert got[6][0] == 24000 and contamination.scan(none, bench).count() == 0
     assert not contamination.scan(odd, bench.where("item_id > 99")).where("contaminated").count()
-    assert contamination.clean(odd, bench).count() == len(ROWS) - 2  # a row without id stays
+    assert contamination.clean(odd, bench).count() == len(ROWS) - 3 and contamination.clean(odd, bench).columns == odd.columns
+    assert contamination.scan(odd, bench).count() == len(ROWS)
 
 
-def test_contamination_without_broadcast(spark, docs, odd, monkeypatch):
+def test_contamination_in_passes(spark, docs, odd, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     run = lambda d: sorted(map(repr, contamination.scan(d, bench).collect()))
     want = [run(d) for d in (docs, odd)]
-    monkeypatch.setattr(contamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(contamination, "PASS_BYTES", common.in_memory_bytes(contamination.windows(bench)[0]) // 3)
     assert [run(d) for d in (docs, odd)] == want and any("contaminated=True" in r for r in want[0])
 
 
@@ -207,6 +208,9 @@ def test_token_counts(spark, docs, none):
         changed = spark.createDataFrame(changes, token_counts._CHANGE)
         assert rollup.commit(batch, changed) and not rollup.commit(batch, changed)
     assert rollup.commit("000003", spark.createDataFrame([], token_counts._CHANGE))
+    before = totals()
+    rollup.snapshot()
+    assert totals() == before and rollup._history(None) == [("snapshot", "000003")]
     states = rollup.states().collect()
     again = defaultdict(lambda: [0, 0, 0])
     for x in states:
@@ -401,6 +405,30 @@ def test_quality(spark, odd, none):
     assert quality.classify(none, labelled).count() == 0 and quality.keep_good(odd, labelled.where("doc_id > 99")).count() == len(ROWS)
 
 
+def plain_groups(rows, words=5, least=0.8):
+    """The least member of the group of each of ``rows`` (key: text), in their order: similarity by all pairs."""
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+    keys = sorted(rows)
+    sets = [shingles(rows[k]) for k in keys]
+    parent = list(range(len(keys)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b)):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {k: keys[find(i)] for i, k in enumerate(keys)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
@@ -413,10 +441,8 @@ def test_pipeline(spark):
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id not in bad}
     assert {r.doc_id: r.text for r in kept.collect()} == rows and kept.columns == docs.columns
     rows = plain_lines(list(rows.items()))
-    ids = sorted(rows)
-    group = roots([plain_fingerprint(rows[d]) for d in ids])
     first = {}
-    for d, g in zip(ids, group, strict=True):
+    for d, g in plain_groups(rows).items():
         first.setdefault(g, d)
     rows = {d: rows[d] for d in first.values()}
     found = contamination.scan(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), spark.read.parquet(f"{SF}/benchmark.parquet"))
