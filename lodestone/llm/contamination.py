@@ -14,8 +14,6 @@ SHARE = 20
 PASS_BYTES = BROADCAST_BYTES
 #: Fixed value of the contract: all that is not part of a word.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word, before A-Z are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -69,30 +67,32 @@ def _sha(words: Column) -> Column:
     return F.unhex(F.sha2(F.array_join(words, " "), 256))
 
 
-def hits(docs: DataFrame, found: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, found: DataFrame, rows: bool = False) -> DataFrame:
     """(key_id, key_1, key_2, doc_id, n, pos, len, window), computed once: each occurrence of a window (``found``, of
-    :func:`windows`) in a row of ``docs`` of n words.
+    :func:`windows`) in a row of ``docs`` of n words; with ``rows`` also one of length 0 for each row of ``docs``.
 
     The windows are broadcast, in as many parts and passes over the documents as their bytes need, so that documents are
     never shuffled. Hashes of all runs of words are exploded, probed and verified within one stage: only hits leave it.
     """
     lens = sorted((r[0] for r in found.select("len").distinct().collect()), reverse=True)  # 13 values at most
     split = _hashed(docs.select(*row_key(), "doc_id", words_of(F.col("text")).alias("w")), lens)
-    none = F.expr("cast(array() as array<bigint>)")
-    runs = split.select(*KEY, "doc_id", "w", F.size("w").alias("n"), F.concat(none, *(f"r{k}" for k in lens)).alias("runs"))
-    # an inner generator would have Spark compute the runs once more, for a filter of those without any
+    # the empty run, which the empty window hits, is the first; an inner generator would have Spark compute all runs once
+    # more, for a filter of rows without any
+    runs = split.select(*KEY, "doc_id", "w", F.size("w").alias("n"), F.concat(F.array(F.lit(0).cast("long")), *(f"r{k}" for k in lens)).alias("runs"))
     each = runs.select(*KEY, "doc_id", "w", "n", F.posexplode_outer("runs").alias("at", "run"))
-    first, base = F.lit(0), F.lit(0)  # of the runs of the window's length
+    first, base = F.lit(0), F.lit(1)  # of the runs of the window's length
     for k in lens:
         first = F.when(F.col("len") == k, base).otherwise(first)
         base = base + F.greatest(F.col("n") - (k - 1), F.lit(0))
-    same = _sha(F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("len"))) == F.col("sha")
+    same = (F.col("len") > 0) & (_sha(F.slice("w", F.greatest(F.col("pos"), F.lit(0)) + 1, F.col("len"))) == F.col("sha"))
+    empty = found.sparkSession.range(1).selectExpr("0L AS hash", "0 AS len", "cast(null AS binary) AS sha", "-1L AS window")
     passes = max(1, -(-in_memory_bytes(found) // PASS_BYTES))
     out = None
     for i in range(passes):
         part = found if passes == 1 else found.where(F.pmod("hash", F.lit(passes)) == i)
+        part = part.unionByName(empty) if rows and i == 0 else part
         met = each.join(F.broadcast(part), F.col("run") == F.col("hash")).withColumn("pos", F.col("at") - first)
-        met = table(met.where((F.col("pos") >= 0) & same).select(*KEY, "doc_id", "n", "pos", "len", "window"))
+        met = table(met.where((F.col("pos") >= 0) & (same | ((F.col("len") == 0) & (F.col("at") == 0)))).select(*KEY, "doc_id", "n", "pos", "len", "window"))
         out = met if out is None else out.union(met)
     return out
 
@@ -124,16 +124,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     broadcast if it is small.
     """
     found, of = windows(benchmark, size)
-    met = hits(docs, found)
-    items = met.select(*KEY, "window").distinct().join(small(of), "window").select(*KEY, "item").distinct()
+    met = hits(docs, found, rows=True)
+    real = met.where("len > 0")
+    items = real.select(*KEY, "window").distinct().join(small(of), "window").select(*KEY, "item").distinct()
     items = items.groupBy(*(F.col(k).alias(f"_{k}") for k in KEY)).agg(F.array_sort(F.collect_list("item")).alias("items"))
     same = F.lit(True)
     for k in KEY:
         same = same & (F.col(k) == F.col(f"_{k}"))
-    judged = _hit_words(met).join(items, same).select(*(F.col(k).alias(f"_{k}") for k in KEY), "n_hit", "items")
-    judged = small(cut(judged))
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    out = docs.select(*row_key(), "doc_id", n.alias("n_words")).join(judged, same, "left")
+    judged = _hit_words(real).join(items, same).select(*(F.col(k).alias(f"_{k}") for k in KEY), "n_hit", "items")
+    out = met.where("len = 0").select(*KEY, "doc_id", F.col("n").cast("long").alias("n_words")).join(small(cut(judged)), same, "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), _contaminated(n_hit, F.col("n_words")).alias("contaminated"))
