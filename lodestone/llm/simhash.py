@@ -23,13 +23,16 @@ _BLOCKS = [(0, 7), (7, 7), (14, 6), (20, 6), (26, 6)]
 #: Near duplicates by similarity: words of a shingle, least Jaccard similarity of the sets of shingles.
 WORDS, SIMILAR = 5, 0.8
 #: Their fingerprints: four words of 64 bits, cut into segments of so many bits. Texts of that similarity differ in 15 %
-#: of all bits or fewer on average: one of the segments differs in 2 bits at most for 94 of 100 pairs or more.
-SEGMENT, SEGMENTS = 28, 9
-#: Most differing bits of one word of 64, and of all four, of pairs that are compared shingle by shingle: more than three
-#: standard deviations above that average.
-WORD_BITS, ALL_BITS = 19, 58
-#: In buckets of more different texts only the links of a spanning forest are compared at first.
-LARGE_BUCKET = 32
+#: of all bits or fewer on average; of 13 % one of the segments differs in 1 bit at most for 95 of 100 pairs.
+SEGMENT, SEGMENTS = 21, 12
+#: Most differing bits of one word of 64, and of all four, of texts that are compared shingle by shingle: more than two and
+#: a half standard deviations above that average.
+WORD_BITS, ALL_BITS = 17, 54
+#: Rows of a bucket that are compared with each other at once: of longer ones those that follow each other in order.
+STRETCH = 1024
+#: Closest candidates of a text that are compared in a round, and the most rounds. In each round a text looks for those
+#: that it isn't joined with yet.
+CLOSEST, ROUNDS = 4, 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -223,78 +226,77 @@ def _ball_rows(batches):
             part = b.slice(at, 4096)
             node, f = part.column(0).to_numpy(), [part.column(k).to_numpy().view(np.uint64) for k in range(1, 5)]
             marked = ((node[:, None] << 5) | np.arange(len(masks))[None, :]).ravel()
+            rest = [pa.array(np.repeat(part.column(5).to_numpy(), len(masks)))] if part.num_columns > 5 else []
             for i in range(SEGMENTS):
                 keys = ((_segment(f, i)[:, None] ^ masks[None, :]) | np.uint64(i << 32)).ravel()
                 word = f[(SEGMENT * i // 64 + 2) % 4].view(np.int64)
-                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(word, len(masks))), pa.array(marked)], ["key", "word", "marked"])
-
-
-def _bucket_pairs(key: int, word: np.ndarray, marked: np.ndarray, group: np.ndarray | None, large: int):
-    """Pairs of nodes of one bucket whose words are close, and whether the bucket is large.
-
-    Equal segments share all keys of their ball: they are paired only where both are unchanged. With ``group`` only nodes
-    of different groups are paired, whatever the bucket's size; else a large bucket gives a spanning forest.
-    """
-    at, node = marked & 31, marked >> 5
-    if group is None and len(node) > large:
-        return _forest(word, node, WORD_BITS), True
-    value = (key & ((1 << SEGMENT) - 1)) ^ np.where(at > 0, np.int64(1) << np.maximum(at - 1, 0), 0)
-    ask = np.arange(len(node) - 1)
-    if group is not None:  # all but the members of the largest group ask all others
-        ids, n = np.unique(group, return_counts=True)
-        ask = np.flatnonzero(group != ids[n.argmax()])
-    pairs = []
-    for i in ask.tolist():
-        to = slice(i + 1, None) if group is None else slice(None)
-        near = (np.bitwise_count(word[to] ^ word[i]) <= WORD_BITS) & ((value[to] != value[i]) | ((at[to] == 0) & (at[i] == 0)))
-        if group is not None:
-            near &= group != group[i]
-        pairs += [(int(node[i]), int(j)) for j in node[to][near]]
-    return pairs, False
-
-
-def _candidates(large: int, grouped: bool):
-    def run(batches):
-        """(a, b) with a < b, and (null, key) for large buckets. Rows come sorted by key; a bucket that a batch cuts off
-        is carried over."""
-        rest = None
-        for b in batches:
-            columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-            if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            if not len(columns[0]):
-                continue
-            starts = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
-            rest = [x[starts[-1] :] for x in columns]
-            yield from found(starts, columns)
-        if rest is not None and len(rest[0]) > 1:
-            yield from found(np.array([0, len(rest[0])]), rest)
-
-    def found(starts, columns):
-        key, word, marked = columns[0], columns[1].view(np.uint64), columns[2]
-        sizes, at = np.diff(starts), marked & 31
-        starts = starts[:-1]
-        if not len(starts):
-            return
-        end = starts[-1] + sizes[-1]
-        least, most = np.minimum.reduceat(at[:end], starts), np.maximum.reduceat(at[:end], starts)
-        full = (sizes > 1) & ((least != most) | (least == 0))  # else all have one segment, and are paired elsewhere
-        pairs, hot = [], []
-        for s, n in zip(starts[full].tolist(), sizes[full].tolist(), strict=True):
-            own, is_large = _bucket_pairs(int(key[s]), word[s : s + n], marked[s : s + n], columns[3][s : s + n] if grouped else None, large)
-            pairs += own
-            if is_large:
-                hot.append(int(key[s]))
-        if pairs or hot:
-            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
-            first = pa.concat_arrays([pa.array(np.minimum(a, b)), pa.nulls(len(hot), pa.int64())])
-            yield pa.record_batch([first, pa.array(np.concatenate([np.maximum(a, b), np.array(hot, np.int64)]))], ["a", "b"])
-
-    return run
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.repeat(word, len(masks))), pa.array(marked), *rest], ["key", "word", "marked", "root"][: 3 + len(rest)])
+
+
+def _nearest(key: np.ndarray, word: np.ndarray, marked: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows of whole buckets: for each node in the bucket of its own segment (none of its bits changed) the
+    closest one by its word, of those within WORD_BITS that have another root."""
+    own, x, y, d = marked & 31 == 0, [], [], []
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        bits = np.bitwise_count(word[i] ^ word[j])
+        near = (bits <= WORD_BITS) & (root[i] != root[j])
+        for of, to in ((i, j), (j, i)):
+            ok = near & own[of]
+            x.append(of[ok]), y.append(to[ok]), d.append(bits[ok])
+
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    short = np.repeat(sizes <= 16, sizes)
+    for step in range(1, min(16, int(sizes[sizes <= 16].max(initial=1)))):
+        i = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
+        take(i, i + step)
+    for start, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+        for at in range(start, start + size, STRETCH // 2):  # each row meets the half stretch before and after it at least
+            rows = np.arange(at, min(at + STRETCH, start + size))
+            i = rows[own[rows]]
+            if len(i) and (root[rows] != root[rows[0]]).any():
+                bits = np.bitwise_count(word[i][:, None] ^ word[rows][None, :])
+                bits[root[i][:, None] == root[rows][None, :]] = 255
+                j = bits.argmin(1)
+                least = bits[np.arange(len(i)), j]
+                ok = least <= WORD_BITS
+                x.append(i[ok]), y.append(rows[j[ok]]), d.append(least[ok])
+    if not x:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y, d = (np.concatenate(v) for v in (x, y, d))
+    order = np.lexsort((marked[y], d, x))
+    x, y = x[order], y[order]
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else x
+    return marked[x[first]] >> 5, marked[y[first]] >> 5
+
+
+def _candidates(batches):
+    """(x, y): nodes and their closest candidates. Rows come sorted by key and word; a bucket that a batch cuts off is
+    carried over, as far as a stretch goes."""
+    rest = None
+    for b in batches:
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        if rest is not None:
+            columns = [np.concatenate(v) for v in zip(rest, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        last = int(np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])[-1])
+        rest = [v[last:] for v in columns]
+        done = last
+        if len(rest[0]) > 8 * STRETCH:  # what has met all that it will goes; the last stretch stays
+            done, rest = len(columns[0]), [v[-STRETCH:] for v in rest]
+        yield from _found([v[:done] for v in columns])
+    if rest is not None:
+        yield from _found(rest)
 
 
-def _by_bucket(rows: DataFrame, large: int, grouped: bool = False) -> DataFrame:
-    return in_arrow(rows.repartition("key").sortWithinPartitions("key"), _candidates(large, grouped), "a long, b long")
+def _found(columns):
+    key, word, marked = columns[0], columns[1].view(np.uint64), columns[2]
+    if len(key):
+        x, y = _nearest(key, word, marked, columns[3] if len(columns) > 3 else marked >> 5)
+        if len(x):
+            yield pa.record_batch([pa.array(x), pa.array(y)], ["x", "y"])
 
 
 def _shingle_sets(batches):
@@ -314,58 +316,55 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(pairs.join(one("a"), "a").join(one("b"), "b").where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
 
-def similar_groups(docs: DataFrame, large: int = LARGE_BUCKET) -> DataFrame:
+def similar_groups(docs: DataFrame) -> DataFrame:
     """(key_id, key_1, key_2, doc_id, node, root), computed once: for each row of ``docs`` (doc_id, text) the node of its
     distinct text and the group of its near duplicates, texts that are linked by a similarity of SIMILAR or more.
 
     Texts with the same words, between ASCII white space, A-Z lower-cased, are one node, however many rows have them;
-    null and blank texts are one. Candidates meet by multi-index hashing: the segments of long fingerprints enumerate
-    their balls of radius 1, equal keys meet, words of the fingerprints and then whole fingerprints are compared. What is
-    left is verified by its shingles: first each text with its closest earlier one, then those pairs that this has not
-    joined, and with them all pairs of large buckets between texts not joined yet. So a group of many near copies costs
-    one comparison for each of them, and no link that a bucket holds is lost.
+    null and blank texts are one. Candidates meet by multi-index hashing: each segment of a long fingerprint enumerates
+    its ball of radius 1, and looks up its own value in the table of all. A text takes the closest of each of its buckets,
+    by a word of the fingerprints; of these the closest by the whole distance are verified by their shingles. Texts that
+    have candidates do so again, among those that they are not joined with, until a round joins nothing. So a group of
+    many near copies costs a few comparisons for each of them, not its pairs.
     """
     rows = cut(in_arrow(docs.select(*row_key(), F.col("doc_id").cast("long"), "text"), _long_fingerprints, "key_id long, key_1 long, key_2 long, doc_id long, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long"))
     prints = [f"f{k}" for k in range(4)]
     sample = F.min(F.struct(F.col("doc_id").isNull().alias("o"), F.col("doc_id").alias("d"), *KEY)).alias("m")  # the row that has the text
     nodes = cut(rows.groupBy("t1", "t2").agg(*(F.min(f).alias(f) for f in prints), sample).withColumn("node", F.monotonically_increasing_id()))
-    keyed = in_arrow(nodes.select("node", *prints), _ball_rows, "key long, word long, marked long")
-    met = cut(_by_bucket(keyed, large).distinct())
-    side = lambda c: nodes.select(F.col("node").alias(c), *(F.col(f).alias(f"{c}{f}") for f in prints))
-    bits = F.lit(0)
-    for f in prints:
-        bits = bits + F.bit_count(F.col(f"a{f}").bitwiseXOR(F.col(f"b{f}")))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        """(a, b, bits) of pairs whose whole fingerprints are close."""
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").withColumn("bits", bits).where(F.col("bits") <= ALL_BITS).select("a", "b", "bits"))
-
-    near = close(met.where("a is not null"))
     owners = nodes.select("node", *(F.col(f"m.{k}").alias(f"_{k}") for k in KEY))
-    named = near.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     same = (F.col(KEY[0]) == F.col(f"_{KEY[0]}")) & (F.col(KEY[1]) == F.col(f"_{KEY[1]}")) & (F.col(KEY[2]) == F.col(f"_{KEY[2]}"))
 
-    def texts(of: DataFrame) -> DataFrame:
-        wanted = small(cut(owners.join(of, F.col("node") == F.col("n"), "left_semi")))
+    def candidates(of: DataFrame, schema: str) -> DataFrame:
+        keyed = in_arrow(of, _ball_rows, schema).repartition("key").sortWithinPartitions("key", "word")
+        return cut(in_arrow(keyed, _candidates, "x long, y long").distinct())
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        named = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        wanted = small(cut(owners.join(named, F.col("node") == F.col("n"), "left_semi")))
         return docs.select(*row_key(), "text").join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
-    first = near.groupBy("b").agg(F.min_by("a", F.struct("bits", "a")).alias("a")).select("a", "b")
-    linked = _similar(cut(first), texts(named))
-    joined = cut(components(linked)) if linked.count() else linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    group = lambda c: joined.select(F.col("node").alias(f"{c}n"), F.col("root").alias(f"{c}r"))
-    apart = lambda p: p.join(group("a"), F.col("a") == F.col("an"), "left").join(group("b"), F.col("b") == F.col("bn"), "left").where(F.coalesce("ar", "a") != F.coalesce("br", "b")).select("a", "b")
-    left = apart(near.select("a", "b")).join(first, ["a", "b"], "left_anti")
-    hot = met.where("a is null").select(F.col("b").alias("hot"))
-    if hot.limit(1).count():
-        hot_rows = cut(keyed.join(small(cut(hot)), F.col("key") == F.col("hot"), "left_semi"))
-        hot_rows = hot_rows.withColumn("node", F.shiftright("marked", 5)).join(joined.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
-        more = _by_bucket(hot_rows.select("key", "word", "marked", F.coalesce("root", "node").alias("root")), large, True).distinct()
-        left = left.union(close(more).select("a", "b").join(first, ["a", "b"], "left_anti")).distinct()
-    left = cut(left)
-    if left.limit(1).count():
-        linked = linked.union(_similar(left, texts(left.select(F.explode(F.array("a", "b")).alias("n")).distinct())))
-    found = components(linked)
-    of = nodes.join(found, "node", "left").select("t1", "t2", "node", F.coalesce("root", "node").alias("root"))
+    met = candidates(nodes.select("node", *prints), "key long, word long, marked long")
+    active = cut(nodes.select("node", *prints).join(met.select(F.explode(F.array("x", "y")).alias("n")).distinct(), F.col("node") == F.col("n"), "left_semi"))
+    linked = tried = met.select(F.col("x").alias("a"), F.col("y").alias("b")).where("false")
+    found = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    bits = F.lit(0)
+    for f in prints:
+        bits = bits + F.bit_count(F.col(f"x{f}").bitwiseXOR(F.col(f"y{f}")))
+    side = lambda c: active.select(F.col("node").alias(c), *(F.col(f).alias(c + f) for f in prints))
+    for i in range(ROUNDS):
+        if i:
+            roots = active.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
+            met = candidates(roots.select("node", *prints, F.coalesce("root", "node").alias("root")), "key long, word long, marked long, root long")
+        near = met.join(side("x"), "x").join(side("y"), "y").select("x", "y", bits.alias("bits")).where(F.col("bits") <= ALL_BITS)
+        # a node has a candidate for each of its segments at most
+        best = near.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "y"))), 1, CLOSEST).alias("best")).select("x", F.explode("best.y").alias("y"))
+        pairs = cut(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        new = _similar(pairs, texts(pairs))
+        if not new.limit(1).count():
+            break
+        linked, tried = cut(linked.union(new)), cut(tried.union(pairs))
+        found = cut(components(linked))
+    of = nodes.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("t1", "t2", "node", F.coalesce("root", "node").alias("root"))
     return cut(rows.join(of, ["t1", "t2"]).select(*KEY, "doc_id", "node", "root"))
 
 

@@ -155,6 +155,29 @@ def test_variants_of_hostile_lines():
                 assert (k[0], c[0]) == (key[i + 1], check[i + 1])
 
 
+def nearest_in_stretches(stretch):
+    """The closest in a bucket by all pairs, where a stretch holds it; in longer buckets one that is close."""
+    r = np.random.default_rng(stretch)
+    key, word, marked = [], [], []
+    for k, n in enumerate([1, 2, 3, 16, 17, 40, 200]):
+        base = r.integers(0, 2**63, dtype=np.uint64)
+        flips = [np.uint64(sum(1 << int(b) for b in r.choice(64, r.integers(0, 9), replace=False))) for _ in range(n)]
+        own = sorted(int(base ^ f) for f in flips)
+        key += [k] * n
+        word += own
+        marked += [((1000 * k + i) << 5) | int(r.integers(0, 3)) for i in range(n)]
+    key, word, marked = np.array(key), np.array(word, np.uint64), np.array(marked, np.int64)
+    x, y = simhash._nearest(key, word, marked, marked >> 5)
+    at = {int(m) >> 5: i for i, m in enumerate(marked)}
+    for i in np.flatnonzero(marked & 31 == 0):
+        others = [j for j in np.flatnonzero(key == key[i]) if j != i and int(word[i] ^ word[j]).bit_count() <= simhash.WORD_BITS]
+        mine = [b for a, b in zip(x.tolist(), y.tolist(), strict=True) if a == marked[i] >> 5]
+        if (key == key[i]).sum() <= max(16, stretch // 2):
+            assert len(mine) == bool(others)
+            assert not others or int(word[i] ^ word[at[mine[0]]]).bit_count() == min(int(word[i] ^ word[j]).bit_count() for j in others)
+        assert all(int(word[i] ^ word[at[b]]).bit_count() <= simhash.WORD_BITS for b in mine)
+
+
 def edited(r, words, n):
     w = list(words)
     for _ in range(n):
@@ -162,16 +185,18 @@ def edited(r, words, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("large", [32, 4])
-def test_similar_groups(spark, large):
-    """Families of texts that differ in a few words, some so large that their buckets count as large."""
+@pytest.mark.parametrize("stretch", [1024, 8])
+def test_similar_groups(spark, monkeypatch, stretch):
+    """Families of texts that differ in a few words, one of them large."""
+    monkeypatch.setattr(simhash, "STRETCH", stretch)  # of the driver's process: workers are forked from another
+    nearest_in_stretches(stretch)
     r, rows = random.Random(5), {}
     for family in range(12):
         base = [f"v{r.randrange(4000)}" for _ in range(r.choice([60, 150, 400]))]
         for _ in range(90 if family == 0 else r.randint(1, 6)):
             rows[len(rows)] = edited(r, base, r.choice([0, 1, 1, 2, 4, 9]))
     rows |= {1000: "one", 1001: "ONE", 1002: "two", 1003: "", 1004: None, 1005: " \t"}
-    got = {x.doc_id: x.root for x in simhash.similar_groups(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), large).select("doc_id", "root").collect()}
+    got = {x.doc_id: x.root for x in simhash.similar_groups(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).select("doc_id", "root").collect()}
     want = plain_groups(rows)
     assert len(got) == len(rows)
     true, found = defaultdict(set), defaultdict(set)
