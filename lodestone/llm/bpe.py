@@ -108,14 +108,24 @@ def _map(df: DataFrame, schema: str, kept: int, make) -> DataFrame:
     return in_arrow(df, run, schema)
 
 
-def encode(docs: DataFrame, ranks_file: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: str | None = None, with_offsets: bool = False) -> DataFrame:
     """(doc_id, token_ids) for each row of ``docs``: no special tokens, null and empty texts give an empty list.
 
-    Rows that repeat are all returned; extra columns are ignored; strings that look like special tokens are plain text.
+    With offsets also (starts, ends): for each token the first code point that it has a byte of, and the end of the last;
+    tokens that share a character overlap. Rows that repeat are all returned; extra columns are ignored; a null doc_id is
+    returned as it is; strings that look like special tokens are plain text; an empty table gives no rows.
     """
     path = ranks_file or public_tokenizers.path(RANKS)
-    make = lambda texts: [pa.array([coder(path).encode(t) for t in texts], pa.list_(pa.int32()))]
-    return _map(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, token_ids array<int>", 1, make)
+    lists = pa.list_(pa.int32())
+
+    def make(texts):
+        c = coder(path)
+        ids = [pa.array([c.encode(t) for t in texts], lists)]
+        spans = [c.offsets(t) for t in texts] if with_offsets else []
+        return ids + [pa.array([[x[i] for x in s] for s in spans], lists) for i in (0, 1) if with_offsets]
+
+    schema = "doc_id long, token_ids array<int>" + ", starts array<int>, ends array<int>" * with_offsets
+    return _map(docs.select(F.col("doc_id").cast("long"), "text"), schema, 1, make)
 
 
 def decode(tokens: DataFrame, ranks_file: str | None = None) -> DataFrame:
@@ -126,7 +136,12 @@ def decode(tokens: DataFrame, ranks_file: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_file: str | None = None, with_ids: bool = False) -> DataFrame:
-    """Per document n_tokens and the digests of its ids and of the bytes that they decode to, with the ids if asked for."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row of ``docs``, with token_ids if asked for: the number of
+    tokens and the digests of the ids and of the bytes that they decode to.
+
+    Null and empty texts have no tokens and the digest of nothing; rows that repeat, or have no id, are all returned; extra
+    columns are ignored; an empty table gives no rows.
+    """
     path = ranks_file or public_tokenizers.path(RANKS)
     sha = lambda b: hashlib.sha256(b).hexdigest()
 

@@ -51,6 +51,12 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: shuffles that nothing refers to any more are then deleted from the disks of
+    the executors. For between the rounds of an iteration whose tables are cut."""
+    spark._jvm.System.gc()
+
+
 def in_memory_bytes(df: DataFrame) -> int:
     """Bytes of the rows of ``df`` (plain columns and lists of strings) as a hashed relation holds them, by one pass over it."""
     fixed, total = ROW_BYTES, F.lit(0).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from dataclasses import dataclass
@@ -16,8 +17,6 @@ UNKNOWN = "unknown"
 REPORT = 0.5
 #: Share of a template's n-grams that a paragraph has to have for the template to confirm the family.
 CONFIRM = 0.7
-#: Most n-grams that the classifier looks at.
-MOST_FEATURES = 240
 NO_WORD = r"[^0-9A-Za-z\x80-\x{10FFFF}]+"
 WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 #: Notices by which licence families are declared.
@@ -119,6 +118,21 @@ class Model:
         p = np.exp(z - z.max())
         return dict(zip(self.families, p / p.sum(), strict=True))
 
+    def least_features(self, report: float) -> int:
+        """How many features a paragraph has at least if a family has a probability above ``report``: with fewer, even the
+        strongest of each family don't outweigh the unknown class."""
+        against = (self.weights - self.weights[:, :1]) / self.temperature
+        needed = -math.inf if report <= 0 else math.inf if report >= 1 else math.log(report / (1 - report))
+        most = len(self.features)
+        for k in range(1, len(self.families)):
+            z, n = against[-1, k], 0
+            for gain in np.sort(against[:-1, k])[::-1]:
+                if z > needed - 1e-9 or gain <= 0:
+                    break
+                z, n = z + gain, n + 1
+            most = min(most, n)
+        return most
+
 
 def fit(paragraphs: list[tuple[str, str]], l1: float = 4e-4, rounds: int = 600) -> Model:
     """Proximal gradient descent with an L1 penalty, so that few n-grams count; the temperature is set on a held-out
@@ -131,7 +145,7 @@ def fit(paragraphs: list[tuple[str, str]], l1: float = 4e-4, rounds: int = 600)
             seen[g][family] += 1
     # n-grams of declared families, the purest and most frequent first
     pure = {g: max((v for f, v in c.items() if f != UNKNOWN), default=0) - c.get(UNKNOWN, 0) for g, c in seen.items()}
-    features = sorted((g for g, v in pure.items() if v >= 3), key=lambda g: (-pure[g], g))[:MOST_FEATURES]
+    features = sorted((g for g, v in pure.items() if v >= 3), key=lambda g: (-pure[g], g))
     at = {g: i for i, g in enumerate(features)}
     x, y = np.zeros((len(paragraphs), len(features) + 1)), np.zeros((len(paragraphs), len(families)))
     for i, (text, family) in enumerate(paragraphs):
@@ -211,7 +225,7 @@ def scan(docs: DataFrame, model: Model | None = None, notices: dict[str, list[st
     rows = _units(docs).select(*key, "p", F.array_remove(F.split(F.lower("p"), NO_WORD), "").alias("w"))
     rows = rows.select(*key, "p", F.expr(_grams("w")).alias("grams"))
     # what follows filters inside of generators: a predicate that moves below them would be computed many times over
-    hits = f"filter(array(struct({{0}} as grams, array_intersect({{0}}, {features}) as hits)), f -> size(f.hits) > 0)"
+    hits = f"filter(array(struct({{0}} as grams, array_intersect({{0}}, {features}) as hits)), f -> size(f.hits) >= {max(1, m.least_features(report))})"
     rows = rows.select(*key, "p", F.explode(F.expr(hits.format("grams"))).alias("f"))
     alone = f"size(array_intersect(s.g, {features})) > 0 and exists(flatten({templates}), t -> size(t) > 0 and size(array_intersect(s.g, t)) / size(t) >= {CONFIRM}D)"
     each = f"transform(transform(split(p, '\\n', -1), l -> array_remove(split(lower(l), '{NO_WORD.replace(chr(92), chr(92) * 2)}'), '')), w -> struct(w, {_grams('w')} as g))"

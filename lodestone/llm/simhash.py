@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import KEY, components, cut, row_key, small, table, without
+from lodestone.llm.common import KEY, components, cut, forget, row_key, small, table, without
 from lodestone.session import in_arrow
 
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
@@ -32,7 +32,7 @@ WORD_BITS, ALL_BITS = 17, 54
 STRETCH = 1024
 #: Closest candidates of a text that are compared in a round, and the most rounds. In each round a text looks for those
 #: that it isn't joined with yet.
-CLOSEST, ROUNDS = 4, 4
+CLOSEST, ROUNDS = 4, 3
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -344,18 +344,22 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         return docs.select(*row_key(), "text").join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
     met = candidates(nodes.select("node", *prints), "key long, word long, marked long")
-    active = cut(nodes.select("node", *prints).join(met.select(F.explode(F.array("x", "y")).alias("n")).distinct(), F.col("node") == F.col("n"), "left_semi"))
     linked = tried = met.select(F.col("x").alias("a"), F.col("y").alias("b")).where("false")
     found = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
     bits = F.lit(0)
     for f in prints:
         bits = bits + F.bit_count(F.col(f"x{f}").bitwiseXOR(F.col(f"y{f}")))
-    side = lambda c: active.select(F.col("node").alias(c), *(F.col(f).alias(c + f) for f in prints))
+    active = nodes
     for i in range(ROUNDS):
         if i:
+            forget(docs.sparkSession)
             roots = active.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
             met = candidates(roots.select("node", *prints, F.coalesce("root", "node").alias("root")), "key long, word long, marked long, root long")
-        near = met.join(side("x"), "x").join(side("y"), "y").select("x", "y", bits.alias("bits")).where(F.col("bits") <= ALL_BITS)
+        side = lambda c, of=active: of.select(F.col("node").alias(c), *(F.col(f).alias(c + f) for f in prints))
+        near = cut(met.join(side("x"), "x").join(side("y"), "y").select("x", "y", bits.alias("bits")).where(F.col("bits") <= ALL_BITS))
+        if not i:  # the others have nothing near them
+            named = near.select(F.explode(F.array("x", "y")).alias("n")).distinct()
+            active = cut(nodes.select("node", *prints).join(named, F.col("node") == F.col("n"), "left_semi"))
         # a node has a candidate for each of its segments at most
         best = near.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "y"))), 1, CLOSEST).alias("best")).select("x", F.explode("best.y").alias("y"))
         pairs = cut(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))

@@ -190,6 +190,16 @@ def test_bpe_split_characters():
     assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a < b for a, b in spans)
 
 
+def test_bpe_offsets(spark, odd):
+    got = bpe.encode(odd, with_offsets=True).collect()
+    assert got == [] or len(got) == len(ROWS)
+    coder = bpe.coder(public_tokenizers.path(bpe.RANKS))
+    by = {r.doc_id: r for r in got}
+    for d, text, *_ in ROWS:
+        if d != 7 and d is not None:
+            assert list(zip(by[d].starts, by[d].ends, strict=True)) == coder.offsets(text) and len(by[d].token_ids) == len(by[d].starts)
+
+
 def test_token_counts(spark, docs, none):
     enc = encoding()
     want = defaultdict(lambda: [0, 0, 0])
