@@ -163,3 +163,23 @@ def literal_kind(c: Column) -> Column:
 def capitalized(c: Column) -> Column:
     """The first letter as a capital, all others small."""
     return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, 2, 2**31 - 1)))
+
+
+def glob_pattern(glob: str) -> str:
+    """A shell's pattern (*, ?, [seq], [!seq]) as a regular expression for whole texts."""
+    out, i = [], 0
+    while i < len(glob):
+        c = glob[i]
+        end = glob.find("]", i + 2 + (glob[i + 1 : i + 2] == "!")) if c == "[" else -1
+        if c == "[" and end > 0:
+            inside = glob[i + 1 : end].replace("\\", r"\\").replace("[", r"\[").replace("&&", r"&\&").replace("^", r"\^")
+            out.append(f"[^{inside[1:]}]" if inside[:1] == "!" else f"[{inside}]")
+            i = end
+        else:
+            out.append({"*": "(?s:.*)", "?": "(?s:.)"}.get(c) or (c if c.isalnum() or c in "_ :=" else "\\" + c))
+        i += 1
+    return "^" + "".join(out) + r"\z"
+
+
+def matches_glob(c: Column, glob: str) -> Column:
+    return c.rlike(glob_pattern(glob))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import expressions
+
 
 def merge_layers(rows: DataFrame, *by: str, layer: str = "seq") -> DataFrame:
     """Overlay: of each path the value of the last layer wins, be it null."""
@@ -18,6 +20,79 @@ def merge_replacing(rows: DataFrame, *by: str, layer: str = "seq") -> DataFrame:
     return merge_layers(rows, *by, layer=layer).where(F.col("value").isNotNull())
 
 
+def _above(path: Column) -> Column:
+    """Paths of the objects that a path lies in: ``a`` and ``a.b`` of ``a.b.c``."""
+    parts = F.split(path, r"\.")
+    return F.transform(F.slice(F.sequence(F.lit(1), F.size(parts)), 1, F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+
+
+def merge_trees(rows: DataFrame, doc: str = "doc", layer: str = "seq", deletes: bool = False) -> DataFrame:
+    """(doc, path, value, items): the leaves of documents after all their layers are laid on each other, in order.
+
+    ``rows`` (doc, layer, path, value, items) are leaves; ``items`` is a list, or null for a plain value, which may be
+    null. A layer has a path once and nothing both at and below it. The later layer wins; a plain value or list replaces
+    an object with all that lies in it, and an object replaces them. Lists are joined without repeats, in order of
+    layers, back to the last one that had something else there; if it ``deletes``, lists replace each other, and a null
+    deletes its path and what lies below. An empty table gives no rows.
+
+    Paths meet only their own ancestors, so the work grows with the depth, not with the pairs of a document's paths.
+    """
+    rows = rows.select(doc, "path", F.col(layer).alias("_l"), "value", "items")
+    top = F.max_by(F.struct("value", "items"), "_l").alias("top")
+    last = rows.groupBy(doc, "path").agg(F.max("_l").alias("last"), top)
+    leaf = last.select(F.col(doc).alias("_d"), F.col("path").alias("_p"), "last")
+    up = leaf.withColumn("_a", F.explode(_above(F.col("_p"))))
+    plain = rows.select(F.col(doc).alias("d"), F.col("path").alias("at"), "_l", F.col("items").isNull().alias("plain"))
+    above = up.join(plain, (F.col("_d") == F.col("d")) & (F.col("_a") == F.col("at"))).select("_d", "_p", "last", "_l", F.lit(True).alias("other"))
+    below = plain.select("d", "_l", F.explode(_above(F.col("at"))).alias("at")).distinct()
+    below = leaf.join(below, (F.col("_d") == F.col("d")) & (F.col("_p") == F.col("at"))).select("_d", "_p", "last", "_l", F.lit(True).alias("other"))
+    same = leaf.join(plain.where("plain"), (F.col("_d") == F.col("d")) & (F.col("_p") == F.col("at"))).select("_d", "_p", "last", "_l", F.lit(False).alias("other"))
+    met = above.union(below).union(same).groupBy("_d", "_p").agg(F.max(F.when(F.col("_l") < F.col("last"), F.col("_l"))).alias("floor"), F.max(F.col("other") & (F.col("_l") > F.col("last"))).alias("gone"))
+    on = (F.col(doc) == F.col("_d")) & (F.col("path") == F.col("_p"))
+    kept = last.join(met, on, "left").where(~F.coalesce("gone", F.lit(False))).select(doc, "path", "floor", "top")
+    if deletes:
+        return kept.select(doc, "path", "top.value", "top.items").where("value is not null or items is not null")
+    lists = kept.where("top.items is not null").select(F.col(doc).alias("_d"), F.col("path").alias("_p"), "floor")
+    joined = rows.where("items is not null").join(lists, on).where(F.col("floor").isNull() | (F.col("_l") > F.col("floor")))
+    firsts = joined.select("_d", "_p", "_l", F.posexplode_outer("items").alias("pos", "item")).groupBy("_d", "_p", "item").agg(F.min(F.struct("_l", "pos")).alias("place"), F.count("pos").alias("n"))
+    whole = firsts.groupBy("_d", "_p").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("place", "item")))).alias("all"))
+    whole = whole.select("_d", "_p", F.transform("all", lambda x: x["item"]).alias("items"))
+    return kept.join(whole, on, "left").select(doc, "path", "top.value", F.when(F.col("top.items").isNotNull(), F.coalesce("items", F.expr("cast(array() as array<string>)"))).alias("items"))
+
+
+def overlay(*layers: DataFrame, doc: str = "doc", deletes: bool = False) -> DataFrame:
+    """:func:`merge_trees` of tables (doc, path, value, items), the later ones on the earlier: base, the provider's
+    defaults, the overrides of a software, what the repository has."""
+    out = None
+    for i, rows in enumerate(layers):
+        numbered = rows.select(doc, "path", "value", "items", F.lit(i).alias("_layer"))
+        out = numbered if out is None else out.union(numbered)
+    if out is None:
+        raise ValueError("no layers are given")
+    return merge_trees(out, doc, "_layer", deletes)
+
+
+def renamed_items(rows: DataFrame, provider: str = "provider", sections: tuple[str, ...] = ("services", "directories", "processes", "ports", "containers", "files")) -> DataFrame:
+    """Paths of providers' configurations as they lie in a merged document: items of ``sections`` are named
+    ``provider_item``, or the provider for ``default``; the default package is named after the provider."""
+    parts = F.split("path", r"\.")
+    section, item = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    rest = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), ".")
+    tail = F.when(rest != "", F.concat(F.lit("."), rest)).otherwise("")
+    named = F.when(item == "default", F.col(provider)).otherwise(F.concat(F.col(provider), F.lit("_"), item))
+    moved = F.when(section.isin(*sections) & item.isNotNull(), F.concat(section, F.lit("."), named, tail)).when((section == "packages") & (item == "default"), F.concat(F.lit("packages."), F.col(provider), tail))
+    return rows.where(~((section == "packages") & F.coalesce(item != "default", F.lit(False)))).withColumn("path", F.coalesce(moved, F.col("path")))
+
+
+def merged_configurations(rows: DataFrame, doc: str = "software") -> DataFrame:
+    """(doc, path, value) of providers' configurations (doc, provider, path, value, seq) as one document: the longest
+    description, else of each renamed path the first value by seq that is not empty."""
+    r = renamed_items(rows).where(F.coalesce(F.col("value") != "", F.lit(False)))
+    long = F.when(F.col("path") == "description", F.char_length("value")).otherwise(0)
+    best = F.struct((-long).alias("a"), F.col("seq").alias("b"))
+    return r.groupBy(doc, "path").agg(F.min_by("value", best).alias("value"))
+
+
 def merge_preferring(a: DataFrame, b: DataFrame, *by: str) -> DataFrame:
     """Values of ``a``; of ``b`` where ``a`` has none or a blank one."""
     both = a.select(*by, F.col("value").alias("_a")).join(b.select(*by, F.col("value").alias("_b")), list(by), "full_outer")
@@ -40,14 +115,25 @@ def without_empty(rows: DataFrame) -> DataFrame:
 
 
 def similar_documents(rows: DataFrame, doc: str, least: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of documents that share at least ``least`` of their (path, value) pairs. The pairs that meet
-    are found by what they share, with its hash as the key; documents that share nothing never meet."""
+    """(a, b, similarity) of documents with a Jaccard similarity of ``least`` or more of their (path, value) pairs.
+
+    Exact by a prefix filter: two such documents share one of the rarest items of each, as many as may be missing, and
+    their sizes are near each other. So an item that all documents have, as a default, brings none together unless they
+    hold hardly anything else. What is shared is counted for those that meet only.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity is above 0, and 1 at most")
     items = rows.select(F.col(doc).alias("doc"), F.xxhash64("path", "value").alias("h")).distinct()
-    sizes = items.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    sized = items.join(sizes, "doc")
-    a, b = (sized.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), "h") for x in "ab")
-    met = a.join(b, "h").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    return met.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    counts = items.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    own = Window.partitionBy("doc")  # one document
+    sized = items.join(counts, "h").select("doc", "h", F.row_number().over(own.orderBy("df", "h")).alias("rank"), F.count(F.lit(1)).over(own).alias("n"))
+    prefix = sized.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
+    a, b = (prefix.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), "h") for x in "ab")
+    near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b"))
+    met = a.join(b, "h").where(near).select("a", "b", "na", "nb").distinct()
+    one = items.select(F.col("doc").alias("a"), "h")
+    both = met.join(one, "a").join(items.select(F.col("doc").alias("b"), "h"), ["b", "h"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    return both.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def flatten_json(rows: DataFrame, column: str, schema: str) -> DataFrame:
@@ -75,33 +161,31 @@ def substituted(template: str, known: dict[str, Column]) -> Column:
 
 
 def condition(expression: str, known: dict[str, Column]) -> Column:
-    """``or`` over ``and`` over ``not``; ==, !=, in [..], not in [..], exists, truth. ``and`` binds stronger than ``or``."""
-
-    def value(t: str) -> Column:
-        t = t.strip()
-        return F.lit(t[1:-1]) if t[:1] in "'\"" and t[:1] == t[-1:] and len(t) > 1 else known.get(t, F.lit(None).cast("string"))
-
-    def one(t: str) -> Column:
-        t = t.strip()
-        if t.startswith("not ") :
-            return ~one(t[4:])
-        if m := re.fullmatch(r"(.+?)\s+(not in|in)\s+\[(.*)\]", t):
-            hit = F.coalesce(value(m[1]).isin(*(x.strip().strip("'\"") for x in m[3].split(","))), F.lit(False))
-            return ~hit if m[2] == "not in" else hit
-        if m := re.fullmatch(r"(.+?)\s*(==|!=)\s*(.+)", t):
-            same = value(m[1]).eqNullSafe(value(m[3]))
-            return same if m[2] == "==" else ~same
-        if t.endswith(" exists"):
-            return value(t[:-7]).isNotNull()
-        return F.coalesce(value(t) != "", F.lit(False))
-
-    either = F.lit(False)
-    for part in re.split(r"\s+or\s+", expression):
-        both = F.lit(True)
-        for p in re.split(r"\s+and\s+", part):
-            both = both & one(p)
-        either = either | both
-    return either
+    """A condition of :mod:`lodestone.operators.expressions` over the columns ``known``, all strings; names that are not
+    known are null. Never null itself."""
+
+    def value(x: expressions.Node) -> Column:
+        return F.lit(x[1]) if x[0] == "text" else known.get(x[1], F.lit(None)).cast("string")
+
+    def column(x: expressions.Node) -> Column:
+        kind, *of = x
+        if kind in ("or", "and"):
+            out = column(of[0][0])
+            for part in of[0][1:]:
+                out = out | column(part) if kind == "or" else out & column(part)
+            return out
+        if kind == "not":
+            return ~column(of[0])
+        if kind in ("==", "!="):
+            same = value(of[0]).eqNullSafe(value(of[1]))
+            return same if kind == "==" else ~same
+        if kind in ("in", "not in"):
+            listed = of[1][0] == "list"
+            hit = value(of[0]).isin(*(i[1] for i in of[1][1])) if listed else F.contains(value(of[1]), value(of[0]))
+            return F.coalesce(hit, F.lit(False)) if kind == "in" else ~F.coalesce(hit, F.lit(False))
+        return value(of[0]).isNotNull() if kind == "exists" else F.coalesce(value(of[0]) != "", F.lit(False))
+
+    return column(expressions.parse(expression))
 
 
 def with_value(rows: DataFrame, path: str, value: str | None, doc: str = "doc") -> DataFrame:

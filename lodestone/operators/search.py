@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,12 @@ def by_confidence(rows: DataFrame, least: float = 0.3) -> DataFrame:
     return rows.where(F.col("score") >= least)
 
 
+def found(rows: DataFrame, query: str, providers: list[str] | None = None, least: float = 0.3, most: int = 20) -> DataFrame:
+    """A whole search: what matches, by confidence, without repeats, ranked, of the given providers, the first ``most``."""
+    out = dedup(by_confidence(substring_search(rows, query), least))
+    return ranked(out.where(F.col("provider").isin(*providers)) if providers else out, query, most)
+
+
 def dedup(rows: DataFrame) -> DataFrame:
     """Of each normalized name the best row: by score, provider weight, shorter name, name, then seq.
 
@@ -71,26 +78,6 @@ def find_matches(rows: DataFrame, query: str, least: float = 0.3, most: int | No
     return out.limit(most) if most else out
 
 
-def duplicates(rows: DataFrame, least: float = DUPLICATE) -> DataFrame:
-    """(name, provider, first_name, similarity): each distinct package (by name and provider) that has an earlier one of
-    at least ``least``, with the first such; 0.6 of the names' similarity and 0.1 or 0.03 for the provider, over 0.7.
-
-    Names are compared once each, within blocks of the normalized names' first words. Packages then meet the earliest
-    package of a similar name, and the one of their own provider: never all pairs.
-    """
-    p = rows.groupBy("name", "provider").agg(F.min("seq").alias("seq"))
-    n = p.groupBy("name").agg(F.min(F.struct("seq", "provider")).alias("first")).withColumn("block", F.element_at(F.split(text.normalized_name(F.col("name")), "-"), 1))
-    a, b = n.select("block", F.col("name").alias("a"), "first"), n.select(F.col("block").alias("_b"), F.col("name").alias("b"))
-    score = lambda same: F.round((0.6 * F.col("s") + F.when(same, 0.1).otherwise(0.03)) / 0.7, 6)
-    names = a.join(b, F.col("block") == F.col("_b")).select("a", "b", "first", text.similarity(F.col("a"), F.col("b")).alias("s")).where(score(F.lit(True)) >= least)
-    met = p.join(names, F.col("name") == F.col("b"))
-    any_provider = met.select("name", "provider", "seq", F.col("first.seq").alias("at"), "a", score(F.col("first.provider") == F.col("provider")).alias("similarity"))
-    own = p.select(F.col("name").alias("_n"), F.col("provider").alias("_p"), F.col("seq").alias("at"))
-    same_provider = met.join(own, (F.col("a") == F.col("_n")) & (F.col("provider") == F.col("_p"))).select("name", "provider", "seq", "at", "a", score(F.lit(True)).alias("similarity"))
-    every = any_provider.union(same_provider).where((F.col("at") < F.col("seq")) & (F.col("similarity") >= least))
-    return every.groupBy("name", "provider").agg(F.min(F.struct("at", "a", "similarity")).alias("m")).select("name", "provider", F.col("m.a").alias("first_name"), "m.similarity")
-
-
 def _packages(rows: DataFrame) -> DataFrame:
     """(name, provider, seq, description): each package once, as its first row has it."""
     return rows.groupBy("name", "provider").agg(F.min(F.struct("seq", "description")).alias("m")).select("name", "provider", "m.*")
@@ -118,7 +105,7 @@ def alternatives(rows: DataFrame, name: str, provider: str | None = None, least:
     return scored.where(F.col("similarity") >= least).orderBy(F.desc("similarity"), "seq")
 
 
-def described_duplicates(rows: DataFrame) -> DataFrame:
+def duplicates(rows: DataFrame) -> DataFrame:
     """(name, provider, first_name, first_provider, similarity): each distinct package that has an earlier one of at
     least DUPLICATE by :func:`package_similarity`, with the first such.
 
@@ -141,6 +128,64 @@ def described_duplicates(rows: DataFrame) -> DataFrame:
     return first.select("name", "provider", F.col("m.name").alias("first_name"), F.col("m.provider").alias("first_provider"), "m.similarity")
 
 
+def _pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, a, b, similarity) of the rows (by seq, a before b) of one ``key`` with a similarity of ``least`` or more;
+    descriptions are compared only where the rest can reach it."""
+    one = lambda c: rows.select(F.col(key).alias(f"_{c}"), F.struct("seq", "name", "provider", "description").alias(c))
+    met = one("a").join(one("b"), F.col("_a") == F.col("_b")).where("a.seq < b.seq")
+    rest = 0.6 * text.similarity(F.col("a.name"), F.col("b.name")) + F.when(F.col("a.provider") == F.col("b.provider"), 0.1).otherwise(0.03)
+    able = met.where(F.coalesce(rest, F.lit(0.0)) + 0.3 * _most_alike(F.col("a.description"), F.col("b.description")) >= least - 1e-6)
+    scored = able.withColumn("similarity", F.round(package_similarity("a", "b"), 6)).where(F.col("similarity") >= least)
+    return scored.select(F.col("_a").alias(key), F.struct("a.seq", F.col("b.seq").alias("later"), "similarity").alias("m")).select(key, F.col("m.seq").alias("a"), F.col("m.later").alias("b"), "m.similarity")
+
+
+def similar_groups(rows: DataFrame, key: str = "software", least: float = GROUP) -> DataFrame:
+    """(key, seq, seed): the packages of each ``key`` (results of one search) around seeds: in order of seq, a package that
+    no earlier seed is similar to is a seed itself and takes all later ones that are similar and not taken.
+
+    What is similar is found by joins; which are seeds follows from package to package, so the similar pairs of one key,
+    numbers only, are gone through in one task.
+    """
+    nodes = rows.select(key, F.col("seq").alias("b"), F.lit(None).cast("long").alias("a"))
+    edges = nodes.unionByName(_pairs(rows, key, least).select(key, "b", "a"))
+
+    def seeds(g: pd.DataFrame) -> pd.DataFrame:
+        earlier: dict[int, list[int]] = {}
+        for b, a in zip(g["b"], g["a"], strict=True):
+            own = earlier.setdefault(int(b), [])
+            if not pd.isna(a):
+                own.append(int(a))
+        seed: dict[int, int] = {}
+        for b in sorted(earlier):
+            seed[b] = min((a for a in earlier[b] if seed[a] == a), default=b)
+        return pd.DataFrame({key: [g[key].iloc[0]] * len(seed), "seq": list(seed), "seed": list(seed.values())})
+
+    return edges.groupBy(key).applyInPandas(seeds, f"{key} {rows.schema[key].dataType.simpleString()}, seq long, seed long")
+
+
+def compared(rows: DataFrame, key: str = "software", least: float = GROUP) -> DataFrame:
+    """(key, seed, n, canonical_name, primary, score, reason, same_name, same_version, similar_descriptions, providers) of
+    each group of :func:`similar_groups` with several packages: its best package (by seq) with a recommendation, its
+    name at the most popular provider, and what its packages share; descriptions do if their mean similarity, in pairs, is
+    over 0.8."""
+    groups = similar_groups(rows, key, least).select(F.col(key).alias("_k"), F.col("seq").alias("_q"), "seed")
+    r = rows.join(groups, (F.col(key) == F.col("_k")) & (F.col("seq") == F.col("_q"))).withColumn("group", F.struct(F.col(key).alias("k"), "seed"))
+    order = F.struct(F.round(selection_score(), 9).alias("s"), (-F.col("seq")).alias("o"))
+    score, reason = recommendation()
+    pop = F.struct(dims.lookup(F.col("provider"), "POPULARITY", 0).alias("p"), (-F.col("seq")).alias("o"))
+    version = F.nullif("version", F.lit(""))
+    best = r.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("name", pop).alias("canonical_name"), F.max_by(F.struct(F.col("seq").alias("primary"), score.alias("score"), reason.alias("reason")), order).alias("best"),
+        (F.countDistinct("name") == 1).alias("same_name"), F.when(F.countDistinct(version) == 1, F.min(version)).alias("same_version"), F.array_sort(F.collect_set("provider")).alias("providers"),
+    ).where("n > 1")
+    one = lambda c: r.where(text.truthy(F.col("description"))).select(F.col("group").alias(f"g{c}"), F.struct("seq", "description").alias(c))
+    met = one("a").join(one("b"), F.col("ga") == F.col("gb")).where("a.seq < b.seq")
+    bound = met.groupBy("ga").agg(F.avg(_most_alike(F.col("a.description"), F.col("b.description"))).alias("most")).where("most > 0.8").select(F.col("ga").alias("able"))
+    alike = met.join(bound, F.col("ga") == F.col("able"), "left_semi").groupBy("ga").agg(F.avg(text.similarity(F.col("a.description"), F.col("b.description"))).alias("mean"))
+    out = best.join(alike, F.col("group") == F.col("ga"), "left")
+    return out.select(F.col("group.k").alias(key), "group.seed", "n", "canonical_name", "best.primary", "best.score", "best.reason", "same_name", "same_version", F.coalesce(F.col("mean") > 0.8, F.lit(False)).alias("similar_descriptions"), "providers")
+
+
 def selection_score() -> Column:
     length = F.least(F.coalesce(F.char_length("description"), F.lit(0)) / 100, F.lit(1.0))
     return 0.3 * dims.lookup(F.col("provider"), "POPULARITY", 1) / 10 + 0.2 * length + F.when(text.truthy(F.col("version")), 0.2).otherwise(0.0) + 0.3 * F.col("score")

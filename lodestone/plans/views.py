@@ -43,7 +43,42 @@ CONFIG = {
     "value": "CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN '' ELSE 'v' || (s_nationkey % 4) END",
     "seq": "s_suppkey",
 }
-_OF = {"catalog": ("documents", CATALOG), "pairs": ("documents", PAIRS), "metrics": ("events", METRICS), "config": ("supplier", CONFIG)}
+#: Leaves of layered documents, some of them lists, some at and below the same path in different layers.
+LAYERS = {
+    "doc": "o_orderkey % 97 || '-' || (o_orderkey div 2328)",
+    "seq": "(o_orderkey div 97) % 4",
+    "path": "CASE (o_orderkey div 388) % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'a.b' WHEN 2 THEN 'a.b.c' WHEN 3 THEN 'l' WHEN 4 THEN 'l.x' ELSE 'a.d' END",
+    "value": "CASE WHEN (o_orderkey div 388) % 6 = 3 AND o_custkey % 4 <> 1 THEN NULL WHEN o_custkey % 5 = 0 THEN NULL ELSE 'v' || (o_custkey % 3) END",
+    "items": "CASE WHEN (o_orderkey div 388) % 6 = 3 AND o_custkey % 4 <> 1 THEN array('i' || (o_custkey % 3), 'i' || (o_custkey % 7), 'i' || (o_custkey % 3)) END",
+}
+#: Configurations of providers with sections, of a few software packages.
+SECTIONS = {
+    "software": "'s' || (o_orderkey % 11)",
+    "provider": "CASE o_custkey % 4 WHEN 0 THEN 'apt' WHEN 1 THEN 'brew' WHEN 2 THEN 'winget' ELSE 'npm' END",
+    "path": "CASE o_custkey % 9 WHEN 0 THEN 'packages.default.name' WHEN 1 THEN 'packages.other.name' WHEN 2 THEN 'services.web.enabled' WHEN 3 THEN 'services.default.enabled' WHEN 4 THEN 'description' WHEN 5 THEN 'urls.website' WHEN 6 THEN 'ports.http.port' WHEN 7 THEN 'supported' ELSE 'version' END",
+    "value": "CASE WHEN o_custkey % 9 = 7 THEN CASE WHEN o_custkey % 7 = 0 THEN 'false' ELSE 'true' END WHEN o_custkey % 13 = 0 THEN '' WHEN o_custkey % 17 = 0 THEN NULL ELSE o_orderpriority || ' /usr/' || (o_custkey % 5) END",
+    "seq": "o_orderkey",
+}
+_J = """'{"version": ' || CASE doc_id % 5 WHEN 0 THEN '"0.1"' WHEN 1 THEN '0.1' WHEN 2 THEN 'null' WHEN 3 THEN '""' ELSE '[1]' END
+    || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ', "description": "fine"' WHEN 2 THEN ', "description": " "' ELSE ', "description": {}' END
+    || ', "urls": ' || CASE doc_id % 6 WHEN 0 THEN '{}' WHEN 1 THEN '{"website": "https://e.org", "source": "http://e.org"}' WHEN 2 THEN '{"website": "e.org"}' WHEN 3 THEN 'null' WHEN 4 THEN '{"website": 7}' ELSE '{"website": "https://e.org", "source": "https://s", "documentation": "https://d", "support": ""}' END
+    || ', "category": ' || CASE doc_id % 3 WHEN 0 THEN '{"default": "web"}' WHEN 1 THEN '{"sub": "x"}' ELSE '"web"' END
+    || ', "platforms": ' || CASE doc_id % 7 WHEN 0 THEN '[]' WHEN 1 THEN '["linux", 3]' WHEN 2 THEN '"linux"' ELSE '["linux"]' END
+    || ', "packages": ' || CASE doc_id % 4 WHEN 0 THEN '{"default": {"name": "x"}}' WHEN 1 THEN '{"default": {"version": "1"}}' WHEN 2 THEN '{}' ELSE '{"a": {"name": ""}, "b": {"name": 5}}' END
+    || ', "ports": {"http": {"port": ' || CASE doc_id % 5 WHEN 0 THEN '80' WHEN 1 THEN '70000' WHEN 2 THEN '"80"' WHEN 3 THEN 'null' ELSE '0' END || ', "protocol": "tcp"}}}'"""
+#: Documents as JSON texts; some are cut off.
+JSONS = {"seq": "doc_id", "json": f"CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 31 = 0 THEN left({_J}, 40) ELSE {_J} END"}
+#: Packages whose descriptions are much alike.
+PRODUCTS = {
+    "software": "p_partkey % 40",
+    "seq": "p_partkey",
+    "name": "lower(p_name) || CASE p_partkey % 5 WHEN 0 THEN ' pro' ELSE '' END",
+    "provider": "CASE p_partkey % 4 WHEN 0 THEN 'apt' WHEN 1 THEN 'brew' WHEN 2 THEN 'npm' ELSE 'snap' END",
+    "version": "'1.' || (p_partkey % 3)",
+    "description": "CASE WHEN p_partkey % 9 <> 0 THEN 'The ' || p_name || ' as it is packaged for all systems' || CASE p_partkey % 2 WHEN 0 THEN ', small' ELSE '' END END",
+    "score": "(p_partkey % 100) / 100.0e0",
+}
+_OF = {"products": ("part", PRODUCTS), "layers": ("orders", LAYERS), "sections": ("orders", SECTIONS), "jsons": ("documents", JSONS), "catalog": ("documents", CATALOG), "pairs": ("documents", PAIRS), "metrics": ("events", METRICS), "config": ("supplier", CONFIG)}
 _EPOCH = {"spark": "unix_seconds(cast(ts as timestamp))", "duckdb": "CAST(floor(epoch(ts)) AS BIGINT)"}
 
 

@@ -72,11 +72,25 @@ def find_alternatives(c):
     return search.alternatives(c, "python-pkg_en-dev1")
 
 
-@_query("catalog")
+@_query("products")
 def identify_duplicates(c):
+    """Packages that have an earlier one of at least 0.9 by name, description and provider."""
     return search.duplicates(c)
 
 
+@_query("products")
+def group_similar_packages(c):
+    """Packages of each software around seeds."""
+    return search.similar_groups(c)
+
+
+@_query("products")
+def compare_packages(c):
+    """Groups of similar packages: the best one, what they share and why it is recommended."""
+    out = search.compared(c)
+    return out.withColumn("providers", F.array_join("providers", ","))
+
+
 _SELECT = f"(0.3e0 * {dims.lookup_sql('provider', 'POPULARITY', 1)} / 10 + 0.2e0 * least(coalesce(length(description), 0) / 100.0e0, 1) + CASE WHEN version <> '' THEN 0.2e0 ELSE 0 END + 0.3e0 * score)"
 
 
@@ -353,6 +367,14 @@ def quality_distribution(c):
     return c.select(F.round(quality.quality_score(quality.issues()), 6).alias("q")).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("q"), 6).alias("least"))
 
 
+@_query("catalog", "SELECT provider, n, (s // n)::BIGINT mean_ppm, l[1 + n // 2] AS median, l[1] AS least, l[n] AS most FROM (SELECT provider, list_sort(list(quality)) l, sum(round(quality * 1000000)::BIGINT) s, count(*) n FROM sc GROUP BY 1)", _SCORES)
+def quality_statistics(c):
+    """Mean, upper median, least and most quality of each provider's packages."""
+    q = c.select("provider", F.round(quality.quality_score(quality.issues()), 6).alias("value"))
+    plain = q.groupBy(F.col("provider").alias("_p")).agg(F.floor(F.sum(F.round(F.col("value") * 1000000).cast("long")) / F.count(F.lit(1))).alias("mean_ppm"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return metrics.picked(q, {"median": 0.5}, "provider").join(plain, F.col("provider") == F.col("_p")).select("provider", "n", "mean_ppm", "median", "least", "most")
+
+
 @_query("catalog", "SELECT path, level, count(*) n FROM iss GROUP BY ALL ORDER BY n DESC, path, level LIMIT 10", _ISSUES)
 def common_issues(c):
     return c.select(F.explode(quality.issues()).alias("i")).groupBy("i.path", "i.level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path", "level").limit(10)
@@ -558,7 +580,7 @@ def provider_status(m):
     return f.groupBy("key").agg(F.max_by("unavailable", F.struct("ts", "id")).alias("unavailable"), F.count(F.lit(1)).alias("failures"), F.max("ts").alias("last_failure"))
 
 
-@_query("metrics", "SELECT key, ts, id, n AS requests, round(t, 4) tokens, n <= 60 AND round(t, 4) <= 90000 in_budget FROM (SELECT *, count(*) OVER w n, sum(value) OVER w t FROM metrics WINDOW w AS (PARTITION BY key ORDER BY ts RANGE BETWEEN 59 PRECEDING AND CURRENT ROW))")
+@_query("metrics", "SELECT key, ts, id, n AS requests, round(t, 4) tokens, n <= 60 AND round(t, 4) <= 90000 in_budget, CASE WHEN n <= 60 AND round(t, 4) <= 90000 THEN 0 ELSE 60 - (ts - o) END AS wait FROM (SELECT *, count(*) OVER w n, sum(value) OVER w t, min(ts) OVER w o FROM metrics WINDOW w AS (PARTITION BY key ORDER BY ts RANGE BETWEEN 59 PRECEDING AND CURRENT ROW))")
 def token_budget_window(m):
     return metrics.budget_windows(m)
 
@@ -587,7 +609,7 @@ def lru_evict(m):
 
 @_query("metrics", "SELECT key, count(*) n FROM cache WHERE regexp_matches(key, '^cl.*:user=[0-3]$') GROUP BY 1", _CACHE)
 def pattern_invalidation(m):
-    return _cache(m).where(F.col("key").rlike("^cl.*:user=[0-3]$")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return _cache(m).where(text.matches_glob(F.col("key"), "cl*:user=[0-3]")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query("catalog", "SELECT coalesce(f.provider, t.provider) AS provider, f.provider IS NOT NULL has_source, t.provider IS NOT NULL has_template FROM (SELECT DISTINCT provider FROM catalog) f FULL JOIN (SELECT unnest(['apt', 'brew', 'npm', 'helm', 'yum']) provider) t ON f.provider = t.provider")
@@ -625,7 +647,7 @@ def missing_fields(c):
 @_query("metrics", "SELECT id, key, ts, value FROM metrics WHERE name = 'error' ORDER BY ts DESC, id LIMIT 100")
 def degradation_events(m):
     """The newest 100 failures: the limit is the report's."""
-    return m.where("name = 'error'").orderBy(F.desc("ts"), "id").limit(100).select("id", "key", "ts", "value")
+    return metrics.events(m, kind="error").select("id", "key", "ts", "value")
 
 
 @_query("metrics", "SELECT key, count(*) failures, max(ts) last_failure, arg_max(id, ts * 10000000 + id) last_id, count(DISTINCT ts // 3600) n_hours FROM metrics WHERE name = 'error' GROUP BY 1")

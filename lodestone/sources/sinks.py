@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,19 +33,70 @@ def flat(df: DataFrame) -> DataFrame:
     return made.select(*sorted(made.columns))
 
 
-def export(df: DataFrame, path: str, kind: str = "jsonl", metadata: bool = True) -> DataFrame:
-    """Writes ``df`` as ``kind`` (jsonl, csv or parquet) to a folder and gives back what was written."""
+@dataclass
+class Report:
+    """What an export wrote: records, bytes, and where."""
+
+    path: str
+    kind: str
+    count: int
+    bytes: int
+
+
+def export_report(df: DataFrame, path: str, kind: str = "jsonl", metadata: bool = True) -> Report:
+    """Writes ``df`` as ``kind`` (jsonl, csv or parquet) to a folder. Records are counted while they are written."""
     rows = df if metadata else df.drop(*PRIVATE)
+    seen = Observation()
+    if kind not in ("jsonl", "csv", "parquet"):
+        raise ValueError(f"unknown format {kind!r}")
+    rows = (flat(rows) if kind == "csv" else rows).observe(seen, F.count(F.lit(1)).alias("n"))
     if kind == "jsonl":
         rows.write.mode("overwrite").json(path)
     elif kind == "csv":
-        rows = flat(rows)
         rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    elif kind == "parquet":
-        rows.write.mode("overwrite").parquet(path)
     else:
-        raise ValueError(f"unknown format {kind!r}")
-    return rows
+        rows.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return Report(path, kind, seen.get["n"], size)
+
+
+def export(df: DataFrame, path: str, kind: str = "jsonl", metadata: bool = True) -> DataFrame:
+    """:func:`export_report`, and what was written, read from the folder: nothing is computed again."""
+    export_report(df, path, kind, metadata)
+    rows = df if metadata else df.drop(*PRIVATE)
+    if kind == "csv":
+        return df.sparkSession.read.schema(flat(rows).schema).option("header", True).option("escape", '"').csv(path)
+    return df.sparkSession.read.schema(rows.schema).format("json" if kind == "jsonl" else "parquet").load(path)
+
+
+def nested_yaml(rows: DataFrame, root: str = "name", file: str = "provider") -> DataFrame:
+    """(root, file, value): documents (root, file, path, value, and items, if there are lists) as nested YAML, without what
+    is null or empty; keys in order. What is grouped is one document."""
+    lists = F.col("items") if "items" in rows.columns else F.lit(None).cast("array<string>")
+    leaves = rows.select(root, file, "path", "value", lists.alias("items")).where((F.coalesce(F.col("value") != "", F.lit(False))) | (F.size("items") > 0))
+    docs = leaves.groupBy(root, file).agg(F.collect_list(F.struct("path", "value", "items")).alias("leaves"))
+
+    def run(batches):
+        import yaml
+
+        for pdf in batches:
+            texts = []
+            for leaves in pdf["leaves"]:
+                tree: dict = {}
+                for leaf in leaves:
+                    at, (*above, key) = tree, leaf["path"].split(".")
+                    for k in above:
+                        at = at.setdefault(k, {})
+                        if not isinstance(at, dict):
+                            raise ValueError(f"{leaf['path']} lies below a plain value")
+                    at[key] = leaf["value"] if leaf["items"] is None else list(leaf["items"])
+                texts.append(yaml.safe_dump(tree, allow_unicode=True, sort_keys=True))
+            yield pdf[[root, file]].assign(value=texts)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return docs.mapInPandas(run, f"{root} {kinds[root]}, {file} {kinds[file]}, value string")
 
 
 def export_trees(rows: DataFrame, path: str, root: str = "name", file: str = "provider") -> DataFrame:

@@ -145,7 +145,7 @@ def test_packages_are_compared_with_their_descriptions(spark):
     for x, y, s in sorted(every, key=lambda t: -t[0].seq):
         if x.seq < y.seq and s >= 0.9:
             want[y.name, y.provider] = (x.name, x.provider, s)
-    got = {(r.name, r.provider): (r.first_name, r.first_provider, r.similarity) for r in search.described_duplicates(c).collect()}
+    got = {(r.name, r.provider): (r.first_name, r.first_provider, r.similarity) for r in search.duplicates(c).collect()}
     assert got == want and {("nginx", "brew"), ("Nginx", "snap")} <= set(got) and not {("nginx", "npm"), ("nginx", "nix"), ("openssl", "apt")} & set(got)
     got = [tuple(r) for r in search.alternatives(c, "nginx").collect()]
     assert sorted(got) == sorted((y.name, y.provider, y.seq, s) for x, y, s in every if x.seq == 1 and y.seq != 1 and s >= 0.5)
