@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import dims
 
 #: Fixed values.
-STOP_WORDS = "a an and or but in on at to for of with by the".split()
+STOP_WORDS = ["a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "the"]
 URL = r"^https?://(?:[-\w.])+(?::[0-9]+)?(?:/(?:[\w/_.])*(?:\?(?:[\w&=%.])*)?(?:#(?:[\w.])*)?)?$"
 VERSION = r"^(\d+)\.(\d+)(?:\.(\d+))?(?:[-.]?([a-zA-Z0-9]+))?$"
+#: Any of four patterns of licences: only whether one of them is there is asked.
 LICENSE_LIKE = r"(?i)MIT|Apache.*2\.0|GPL.*3\.0|GNU.*General.*Public.*License.*3|BSD"
 _BLANK = " \t\n\x0b\x0c\r"
 

@@ -90,7 +90,7 @@ def export_confidence() -> Column:
 
 
 def retry(status: Column, error: Column, attempt: Column, most: int = 3) -> Column:
-    """Whether to try again and why: a response's status decides, then the kind of error."""
+    """Whether to try again and why: a response's status decides, then the kind of error. The reasons."""
     answer = lambda again, why: F.struct(F.lit(again).alias("again"), why.alias("reason"))
     return (
         F.when(attempt >= most, answer(False, F.lit("Maximum retry attempts reached")))

@@ -89,8 +89,8 @@ def platform_scores(platforms: Column) -> tuple[Column, Column]:
 
 def inferred_platforms(provider: Column) -> Column:
     out = F.expr("cast(array() as array<string>)")
-    for names, providers in dims.PLATFORMS_OF.items():
-        out = F.when(provider.isin(*providers.split()), F.array(*map(F.lit, names.split()))).otherwise(out)
+    for names, providers in dims.PLATFORMS_OF:
+        out = F.when(provider.isin(*providers), F.array(*map(F.lit, names))).otherwise(out)
     return out
 
 
