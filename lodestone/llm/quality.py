@@ -56,8 +56,8 @@ def words(text: str) -> list[str]:
 def stems(found: list[str]) -> np.ndarray:
     """Codes of the beginnings of words, of 3 to 8 letters: bucket * LEVELS + k for those that k + 1 words or more have."""
     codes = [zlib.crc32(w[:k].encode()) & _BUCKETS for w in found for k in range(3, min(8, len(w)) + 1)]
-    ids, n = np.unique(np.array(codes, np.int64), return_counts=True)
-    return np.concatenate([ids[n > k] * LEVELS + k for k in range(LEVELS)])
+    ids, n = np.unique(np.array(codes, np.int32), return_counts=True)
+    return np.concatenate([ids[n > k] * np.int32(LEVELS) + np.int32(k) for k in range(LEVELS)])
 
 
 def _ratio(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> np.ndarray:
@@ -77,11 +77,18 @@ def choose_stems(texts: list[str], bad: np.ndarray) -> list[tuple[str, int]]:
     before. Then those that hardly any good document has, since each may be all that another document shows. Of equally
     strong stems the longest one.
     """
-    codes = [stems(words(t)) for t in texts]
     size, n_bad, n_good = (_BUCKETS + 1) * LEVELS, int(bad.sum()), int((~bad).sum())
-    with_it, without_it = (np.bincount(np.concatenate([c for c, y in zip(codes, bad, strict=True) if y == of]), minlength=size) for of in (True, False))
-    full = _ratio(with_it.astype(float), n_bad, without_it.astype(float), n_good)
+    with_it, without_it = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for t, y in zip(texts, bad, strict=True):  # stems are found again below, for bad texts only: all at once take memory
+        (with_it if y else without_it)[stems(words(t))] += 1
+    seen = np.flatnonzero(with_it)
+    full = np.zeros(size)
+    full[seen] = _ratio(with_it[seen].astype(float), n_bad, without_it[seen].astype(float), n_good)
     strong = full >= LEAST_G
+    codes = {}
+    for i in np.flatnonzero(bad):
+        own = stems(words(texts[i]))
+        codes[int(i)] = own[strong[own]]
     names: dict[int, Counter] = {}  # the text of what the codes stand for
     for i in np.flatnonzero(bad):
         for w in words(texts[i]):
@@ -96,9 +103,9 @@ def choose_stems(texts: list[str], bad: np.ndarray) -> list[tuple[str, int]]:
         stem, c = max(found, key=lambda x: (len(x[0]), x[0], -x[1]))
         return c, stem
 
-    left, chosen = [i for i, y in enumerate(bad) if y], []
+    left, chosen = list(codes), []
     while left and len(chosen) < MOST_STEMS:
-        ids, seen = np.unique(np.concatenate([codes[i][strong[codes[i]]] for i in left]), return_counts=True)
+        ids, seen = np.unique(np.concatenate([codes[i] for i in left]), return_counts=True)
         g = _ratio(seen.astype(float), len(left), without_it[ids].astype(float), n_good)
         if not len(ids) or g.max() < LEAST_LEFT:
             break

@@ -106,11 +106,11 @@ def _own_forest(spark: SparkSession) -> list[Tree]:
 
 
 def fit(findings: DataFrame, most: int = 20_000) -> list[Tree]:
-    """A forest for labelled ``findings`` (candidate, before, after, path, label), ``most`` of them at most: those with the
-    least hashes, so that it is the same forest each time. Nulls around a candidate count as empty."""
+    """A forest for labelled ``findings`` (candidate, before, after, path, label), ``most`` of them at most: of more those
+    with the least hashes, so that it is the same forest each time. Nulls around a candidate count as empty."""
     named = ("candidate", "before", "after", "path")
     known = findings.where("candidate <> '' and label is not null").select("label", *(F.coalesce(c, F.lit("")).alias(c) for c in named))
-    chosen = known.orderBy(F.xxhash64(*named, "label"), *named, "label").limit(most)
+    chosen = known if known.count() <= most else known.orderBy(F.xxhash64(*named, "label"), *named, "label").limit(most)
     rows = chosen.select("label", *features(*map(F.col, named))).collect()
     if len({r[0] for r in rows}) < 2:
         raise ValueError("findings of both labels are needed")
