@@ -21,7 +21,7 @@ _CHANGE = f"{_COUNTS}, gone boolean"
 _STATE = f"{_COUNTS}, n_docs long"
 _DELTA = "source string, lang string, tokenizer string, d_docs long, d_tokens long, d_chars long"
 #: States lie in so many folders, by a hash of the document: a batch reads those only that its documents are in.
-BUCKETS = 64
+BUCKETS = 16
 #: Batches since the last snapshot of all states that make the next commit write one.
 SNAPSHOT = 16
 
