@@ -51,6 +51,12 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about so many rows, in a partition for 25,000 of them, 4 at least: what is small leaves a few files in each
+    shuffle that follows, not as many as the last shuffle had partitions."""
+    return df.coalesce(max(4, rows // 25_000))
+
+
 def forget(spark: SparkSession) -> None:
     """Has the driver collect its garbage: shuffles that nothing refers to any more are then deleted from the disks of
     the executors. For between the rounds of an iteration whose tables are cut."""
@@ -118,18 +124,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     give no rows.
     """
     now = cut(edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = now.count()
+    now = gathered(now, n)
     lone = now.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
     now = now.where("u <> v")
     mark = None
     for _ in range(most_rounds):
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = gathered(both.groupBy("u").agg(F.min("v").alias("m")), n).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        large = gathered(large.where("u <> v").distinct(), n)
+        low = gathered(large.groupBy("u").agg(F.min("v").alias("m")), n).withColumnRenamed("u", "k")
         met = large.join(low, F.col("u") == F.col("k"))
         star = met.select("u", F.col("m").alias("v")).union(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(star.where("u <> v").distinct())
+        now = cut(gathered(star.where("u <> v").distinct(), n))
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             break

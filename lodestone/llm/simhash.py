@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import KEY, components, cut, forget, row_key, small, table, without
+from lodestone.llm.common import KEY, components, cut, forget, gathered, row_key, small, table, without
 from lodestone.session import in_arrow
 
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
@@ -313,7 +313,8 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = table(in_arrow(texts.join(named, F.col("node") == F.col("n"), "left_semi").select("node", "text"), _shingle_sets, "node long, shingles array<long>"))
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return cut(pairs.join(one("a"), "a").join(one("b"), "b").where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    found = pairs.join(one("a"), "a").join(one("b"), "b").where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return cut(gathered(found, pairs.count()))
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -344,6 +345,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         return docs.select(*row_key(), "text").join(wanted, same).select("node", "text").dropDuplicates(["node"])
 
     met = candidates(nodes.select("node", *prints), "key long, word long, marked long")
+    n = met.count()
+    few = lambda df: gathered(df, n)
+    met = few(met)
     linked = tried = met.select(F.col("x").alias("a"), F.col("y").alias("b")).where("false")
     found = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
     bits = F.lit(0)
@@ -354,20 +358,20 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         if i:
             forget(docs.sparkSession)
             roots = active.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left")
-            met = candidates(roots.select("node", *prints, F.coalesce("root", "node").alias("root")), "key long, word long, marked long, root long")
+            met = few(candidates(few(roots).select("node", *prints, F.coalesce("root", "node").alias("root")), "key long, word long, marked long, root long"))
         side = lambda c, of=active: of.select(F.col("node").alias(c), *(F.col(f).alias(c + f) for f in prints))
-        near = cut(met.join(side("x"), "x").join(side("y"), "y").select("x", "y", bits.alias("bits")).where(F.col("bits") <= ALL_BITS))
+        near = cut(few(met.join(side("x"), "x").join(side("y"), "y").select("x", "y", bits.alias("bits")).where(F.col("bits") <= ALL_BITS)))
         if not i:  # the others have nothing near them
             named = near.select(F.explode(F.array("x", "y")).alias("n")).distinct()
-            active = cut(nodes.select("node", *prints).join(named, F.col("node") == F.col("n"), "left_semi"))
+            active = cut(few(nodes.select("node", *prints).join(named, F.col("node") == F.col("n"), "left_semi")))
         # a node has a candidate for each of its segments at most
         best = near.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "y"))), 1, CLOSEST).alias("best")).select("x", F.explode("best.y").alias("y"))
-        pairs = cut(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = cut(few(few(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).join(tried, ["a", "b"], "left_anti")))
         new = _similar(pairs, texts(pairs))
         if not new.limit(1).count():
             break
-        linked, tried = cut(linked.union(new)), cut(tried.union(pairs))
-        found = cut(components(linked))
+        linked, tried = cut(few(linked.union(new))), cut(few(tried.union(pairs)))
+        found = cut(few(components(linked)))
     of = nodes.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("t1", "t2", "node", F.coalesce("root", "node").alias("root"))
     return cut(rows.join(of, ["t1", "t2"]).select(*KEY, "doc_id", "node", "root"))
 
