@@ -128,39 +128,79 @@ def duplicates(rows: DataFrame) -> DataFrame:
     return first.select("name", "provider", F.col("m.name").alias("first_name"), F.col("m.provider").alias("first_provider"), "m.similarity")
 
 
-def _pairs(rows: DataFrame, key: str, least: float) -> DataFrame:
-    """(key, a, b, similarity) of the rows (by seq, a before b) of one ``key`` with a similarity of ``least`` or more;
-    descriptions are compared only where the rest can reach it."""
-    one = lambda c: rows.select(F.col(key).alias(f"_{c}"), F.struct("seq", "name", "provider", "description").alias(c))
-    met = one("a").join(one("b"), F.col("_a") == F.col("_b")).where("a.seq < b.seq")
-    rest = 0.6 * text.similarity(F.col("a.name"), F.col("b.name")) + F.when(F.col("a.provider") == F.col("b.provider"), 0.1).otherwise(0.03)
-    able = met.where(F.coalesce(rest, F.lit(0.0)) + 0.3 * _most_alike(F.col("a.description"), F.col("b.description")) >= least - 1e-6)
-    scored = able.withColumn("similarity", F.round(package_similarity("a", "b"), 6)).where(F.col("similarity") >= least)
-    return scored.select(F.col("_a").alias(key), F.struct("a.seq", F.col("b.seq").alias("later"), "similarity").alias("m")).select(key, F.col("m.seq").alias("a"), F.col("m.later").alias("b"), "m.similarity")
+#: What packages are compared by: those that share all of it are one kind.
+KIND = ["name", "provider", "description"]
+
+
+def _scored(pairs: DataFrame, to: str) -> DataFrame:
+    """Distinct ``pairs`` of texts (x, y) with their similarity as ``to``. They are short and slow to score: all shuffle
+    partitions get some."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.select("x", "y").repartition(n, "x", "y").withColumn(to, text.similarity(F.col("x"), F.col("y")))
+
+
+def _pairs(kinds: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, a, b) of the ``kinds`` (by the first seq of each) of one ``key`` of which a package a is similar by ``least`` or
+    more to one b behind it: a comes before b, or b is ``alone`` and goes on after a.
+
+    Names and descriptions that occur together are scored once, descriptions only where the rest can reach ``least``.
+    """
+    n = kinds.select(key, "name").where(text.truthy(F.col("name"))).distinct()
+    x, y = n.select(F.col(key).alias("_a"), F.col("name").alias("x")), n.select(F.col(key).alias("_b"), F.col("name").alias("y"))
+    names = x.join(y, F.col("_a") == F.col("_b")).select("x", "y").distinct()
+    names = _scored(names, "s")
+    one = lambda c: kinds.select(F.col(key).alias(f"_{c}"), F.struct("seq", "alone", *KIND).alias(c))
+    met = one("a").join(one("b"), F.col("_a") == F.col("_b")).where("a.seq < b.seq OR (b.alone AND a.seq > b.seq)")
+    met = met.join(names, (F.col("a.name") == F.col("x")) & (F.col("b.name") == F.col("y")), "left")
+    s, provider = F.coalesce("s", F.lit(0.0)), F.when(F.col("a.provider") == F.col("b.provider"), 0.1).otherwise(0.03)
+    met = met.select(F.col("_a").alias(key), "a", "b", s.alias("s"), provider.alias("p"))
+    texts = met.groupBy(F.col("a.description").alias("x"), F.col("b.description").alias("y")).agg(F.max(0.6 * F.col("s") + F.col("p")).alias("rest"))
+    texts = _scored(texts.where(F.col("rest") + 0.3 * _most_alike(F.col("x"), F.col("y")) >= least - 1e-6), "d")
+    scored = met.join(texts, F.col("a.description").eqNullSafe(F.col("x")) & F.col("b.description").eqNullSafe(F.col("y")))
+    scored = scored.where(F.round(F.least(0.6 * F.col("s") + 0.3 * F.col("d") + F.col("p"), F.lit(1.0)), 6) >= least)
+    return scored.select(key, F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
 
 
 def similar_groups(rows: DataFrame, key: str = "software", least: float = GROUP) -> DataFrame:
     """(key, seq, seed): the packages of each ``key`` (results of one search) around seeds: in order of seq, a package that
     no earlier seed is similar to is a seed itself and takes all later ones that are similar and not taken.
 
-    What is similar is found by joins; which are seeds follows from package to package, so the similar pairs of one key,
-    numbers only, are gone through in one task.
+    Packages of one kind, with the same name, provider and description, are compared once: they are similar to the same
+    seeds, so what takes the first of them takes all. Only a kind that isn't similar to itself (``alone``: it has no name,
+    say) goes on with seeds of its own until a seed behind its first package takes the rest. What is similar is found by
+    joins; which are seeds follows from kind to kind, so the similar pairs of kinds of one key, numbers only, are gone
+    through in one task.
     """
-    nodes = rows.select(key, F.col("seq").alias("b"), F.lit(None).cast("long").alias("a"))
-    edges = nodes.unionByName(_pairs(rows, key, least).select(key, "b", "a"))
+    has = lambda c: F.when(text.truthy(F.col(c)), 1.0).otherwise(0.0)
+    own = F.least(0.6 * has("name") + 0.3 * has("description") + F.when(F.col("provider").isNotNull(), 0.1).otherwise(0.03), F.lit(1.0))
+    kinds = rows.groupBy(key, *KIND).agg(F.min(F.col("seq").cast("long")).alias("seq")).withColumn("alone", F.round(own, 6) < least)
+    placed = kinds.where("seq is not null")
+    nodes = placed.select(key, F.col("seq").alias("b"), F.lit(None).cast("long").alias("a"), "alone")
+    edges = nodes.unionByName(_pairs(placed, key, least).select(key, "b", "a", F.lit(False).alias("alone")))
 
     def seeds(g: pd.DataFrame) -> pd.DataFrame:
-        earlier: dict[int, list[int]] = {}
+        others: dict[int, list[int]] = {}
         for b, a in zip(g["b"], g["a"], strict=True):
-            own = earlier.setdefault(int(b), [])
+            own = others.setdefault(int(b), [])
             if not pd.isna(a):
                 own.append(int(a))
         seed: dict[int, int] = {}
-        for b in sorted(earlier):
-            seed[b] = min((a for a in earlier[b] if seed[a] == a), default=b)
-        return pd.DataFrame({key: [g[key].iloc[0]] * len(seed), "seq": list(seed), "seed": list(seed.values())})
-
-    return edges.groupBy(key).applyInPandas(seeds, f"{key} {rows.schema[key].dataType.simpleString()}, seq long, seed long")
+        for b in sorted(others):
+            seed[b] = min((a for a in others[b] if a < b and seed[a] == a), default=b)
+        alone = {int(b) for b in g["b"][g["alone"]] if seed[int(b)] == b}
+        until = [min((a for a in others[b] if a > b and seed[a] == a), default=None) if b in alone else None for b in seed]
+        out = pd.DataFrame({"_first": list(seed), "_seed": list(seed.values()), "_alone": [b in alone for b in seed], "_until": pd.array(until, dtype="Int64")})
+        return out.assign(_k=[None if pd.isna(k := g[key].iloc[0]) else k] * len(seed))
+
+    found = edges.groupBy(key).applyInPandas(seeds, f"_first long, _seed long, _alone boolean, _until long, _k {rows.schema[key].dataType.simpleString()}")
+    of = kinds.join(found, F.col(key).eqNullSafe(F.col("_k")) & (F.col("seq") == F.col("_first"))).select(*(F.col(c).alias(f"_{c}") for c in (key, *KIND)), "_seed", "_alone", "_until")
+    same = F.lit(True)
+    for c in (key, *KIND):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    seq = F.col("seq").cast("long")
+    seed = F.when(~F.col("_alone"), F.col("_seed")).when(seq > F.col("_until"), F.col("_until")).otherwise(seq)
+    each = rows.join(of, same, "left").select(key, seq.alias("seq"), F.when(F.col(key).isNull(), seq).otherwise(seed).alias("seed"))
+    return each.groupBy(key, "seq").agg(F.min("seed").alias("seed"))
 
 
 def compared(rows: DataFrame, key: str = "software", least: float = GROUP) -> DataFrame:

@@ -358,6 +358,69 @@ def test_groups_of_similar_packages(spark):
     assert {x.seed: x.n for x in compared} == {k: n for k, n in sizes.items() if n > 1}
 
 
+def counted_ratios(spark, monkeypatch):
+    """How many pairs of texts difflib compares from now on."""
+    import pandas as pd
+    from lodestone.functions import text
+
+    n = spark.sparkContext.accumulator(0)
+
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        n.add(len(x))
+        return pd.Series([SequenceMatcher(None, i or "", j or "").ratio() for i, j in zip(x, y, strict=True)], dtype=float)
+
+    monkeypatch.setattr(text, "sequence_ratio", lambda a, b: F.pandas_udf(ratio, "double")(a, b))
+    return n
+
+
+def copies(n):
+    """Packages of two software, most of them copies of a few; some have no name and aren't like themselves."""
+    r = random.Random(8)
+    names, said = ["nginx", "nginx-full", "nginx full", "web nginx", "httpd", "", None, "vim editor"], ["fast web server", "a fast web server for all", "text editor", "", None]
+    kinds = [(r.choice(names), r.choice(["apt", "brew", None]), r.choice(said)) for _ in range(18)]
+    return [(r.randrange(2), i, *r.choice(kinds), r.random()) for i in range(n)]
+
+
+def grouped(rows, least):
+    """Seeds of ``rows``, package by package, and what their descriptions share."""
+    known = {}
+
+    def ratio(x, y):
+        if (x, y) not in known:
+            known[x, y] = plain_similarity(x, y) if x and y else 0.0
+        return known[x, y]
+
+    seed, seeds = {}, defaultdict(list)
+    for x in rows:
+        like = [y for y in seeds[x[0]] if round(min(1.0, 0.6 * ratio(y[2], x[2]) + 0.3 * ratio(y[4], x[4]) + (0.1 if x[3] and x[3] == y[3] else 0.03)), 6) >= least]
+        seed[x[1]] = like[0][1] if like else x[1]
+        if not like:
+            seeds[x[0]].append(x)
+    alike = {}
+    for s in set(seed.values()):
+        own = [x[4] for x in rows if seed[x[1]] == s and x[4]]
+        every = [ratio(a, b) for a, b in itertools.combinations(own, 2)]
+        alike[s] = bool(every) and sum(every) / len(every) > 0.8
+    return seed, alike
+
+
+def catalog_of(spark, rows):
+    return spark.createDataFrame(rows, "software long, seq long, name string, provider string, description string, score double").withColumn("version", F.lit("1")).repartition(5)
+
+
+@pytest.mark.parametrize("least", [0.6, 0.35])
+def test_copies_of_packages_are_compared_once(spark, monkeypatch, least):
+    n, rows = counted_ratios(spark, monkeypatch), copies(240)
+    got = {x.seq: x.seed for x in search.similar_groups(catalog_of(spark, rows), least=least).collect()}
+    assert got == grouped(rows, least)[0]
+    assert n.value <= 500  # all pairs of packages are 14,000
+
+
+def test_packages_without_a_key_are_no_group(spark):
+    rows = [(None, 1, "a", "apt", "x", 0.5), (None, 2, "a", "apt", "x", 0.5), (1, 3, "a", "apt", "x", 0.5), (1, 4, "a", "apt", "x", 0.5), (1, 4, "a", "apt", "x", 0.5)]
+    assert sorted((x.seq, x.seed) for x in search.similar_groups(catalog_of(spark, rows)).collect()) == [(1, 1), (2, 2), (3, 3), (4, 3)]
+
+
 def test_json_of_rows():
     assert t.rows_of({"a": {"b": True, "c": []}, "d": None, "e": [1, "x"], "f": {}}) == [("a.b", "true", None), ("a.c", None, []), ("d", None, None), ("e", None, ["1", "x"])]
     assert json.loads("1") == 1
