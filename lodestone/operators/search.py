@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import dims, text
+from lodestone.session import durable
 
 #: Similarity from which packages are duplicates, alternatives, one group.
 DUPLICATE, ALTERNATIVE, GROUP = 0.9, 0.5, 0.6
@@ -203,12 +205,29 @@ def similar_groups(rows: DataFrame, key: str = "software", least: float = GROUP)
     return each.groupBy(key, "seq").agg(F.min("seed").alias("seed"))
 
 
+def _in_order(g: pd.DataFrame) -> pd.DataFrame:
+    """Of one group (seq, m: digest of a description) for each two descriptions, or one, how many pairs of packages have x
+    before y."""
+    codes, names = pd.factorize(g["m"])
+    seq, names = g["seq"].to_numpy(np.int64), names.to_numpy(object)
+    order = np.lexsort((seq, codes))
+    ends, out = np.cumsum(np.bincount(codes, minlength=len(names))), []
+    for y, (start, end) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
+        own = seq[order[start:end]]
+        n = np.bincount(codes, end - start - np.searchsorted(own, seq, "right"), len(names)).astype(np.int64)
+        x = np.flatnonzero(n)
+        out.append((x, np.full(len(x), y), n[x]))
+    x, y, n = (np.concatenate(v) for v in zip(*out, strict=True))
+    group = g["group"].iloc[0]
+    return pd.DataFrame({"k": [group["k"]] * len(x), "seed": group["seed"], "x": names[x], "y": names[y], "n": n})
+
+
 def compared(rows: DataFrame, key: str = "software", least: float = GROUP) -> DataFrame:
     """(key, seed, n, canonical_name, primary, score, reason, same_name, same_version, similar_descriptions, providers) of
     each group of :func:`similar_groups` with several packages: its best package (by seq) with a recommendation, its
     name at the most popular provider, and what its packages share; descriptions do if their mean similarity, in pairs, is
-    over 0.8."""
-    groups = similar_groups(rows, key, least).select(F.col(key).alias("_k"), F.col("seq").alias("_q"), "seed")
+    over 0.8. Two descriptions are scored once in each order and count as often as packages have them in that order."""
+    groups = durable(similar_groups(rows, key, least)).select(F.col(key).alias("_k"), F.col("seq").alias("_q"), "seed")
     r = rows.join(groups, (F.col(key) == F.col("_k")) & (F.col("seq") == F.col("_q"))).withColumn("group", F.struct(F.col(key).alias("k"), "seed"))
     order = F.struct(F.round(selection_score(), 9).alias("s"), (-F.col("seq")).alias("o"))
     score, reason = recommendation()
@@ -218,10 +237,15 @@ def compared(rows: DataFrame, key: str = "software", least: float = GROUP) -> Da
         F.count(F.lit(1)).alias("n"), F.max_by("name", pop).alias("canonical_name"), F.max_by(F.struct(F.col("seq").alias("primary"), score.alias("score"), reason.alias("reason")), order).alias("best"),
         (F.countDistinct("name") == 1).alias("same_name"), F.when(F.countDistinct(version) == 1, F.min(version)).alias("same_version"), F.array_sort(F.collect_set("provider")).alias("providers"),
     ).where("n > 1")
-    one = lambda c: r.where(text.truthy(F.col("description"))).select(F.col("group").alias(f"g{c}"), F.struct("seq", "description").alias(c))
-    met = one("a").join(one("b"), F.col("ga") == F.col("gb")).where("a.seq < b.seq")
-    bound = met.groupBy("ga").agg(F.avg(_most_alike(F.col("a.description"), F.col("b.description"))).alias("most")).where("most > 0.8").select(F.col("ga").alias("able"))
-    alike = met.join(bound, F.col("ga") == F.col("able"), "left_semi").groupBy("ga").agg(F.avg(text.similarity(F.col("a.description"), F.col("b.description"))).alias("mean"))
+    said = r.where(text.truthy(F.col("description"))).select("group", "seq", "description", F.md5("description").alias("m"))
+    counts = durable(said.groupBy("group").applyInPandas(_in_order, said.select("group.*", F.lit("").alias("x"), F.lit("").alias("y"), F.lit(0).cast("long").alias("n")).schema))
+    one = lambda c: rows.where(text.truthy(F.col("description"))).groupBy(F.md5("description").alias(f"m{c}")).agg(F.min("description").alias(c))
+    met = counts.join(one("a"), F.col("x") == F.col("ma")).join(one("b"), F.col("y") == F.col("mb")).select(F.struct("k", "seed").alias("g"), F.col("a").alias("x"), F.col("b").alias("y"), "n")
+    mean = lambda c: F.sum(F.col("n") * c) / F.sum("n")
+    bound = met.groupBy("g").agg(mean(_most_alike(F.col("x"), F.col("y"))).alias("most")).where(F.col("most") > 0.8 - 1e-6).select(F.col("g").alias("able"))
+    able = met.join(bound, F.col("g") == F.col("able"), "left_semi")
+    texts = _scored(able.select("x", "y").distinct(), "d").select(F.col("x").alias("_x"), F.col("y").alias("_y"), "d")
+    alike = able.join(texts, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).groupBy(F.col("g").alias("ga")).agg(mean(F.col("d")).alias("mean"))
     out = best.join(alike, F.col("group") == F.col("ga"), "left")
     return out.select(F.col("group.k").alias(key), "group.seed", "n", "canonical_name", "best.primary", "best.score", "best.reason", "same_name", "same_version", F.coalesce(F.col("mean") > 0.8, F.lit(False)).alias("similar_descriptions"), "providers")
 

@@ -40,3 +40,16 @@ def in_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in checkpoint files: for what several branches of a plan read. The folder is the one that
+    the session names; a session in this process that names none gets one of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()

@@ -421,6 +421,17 @@ def test_packages_without_a_key_are_no_group(spark):
     assert sorted((x.seq, x.seed) for x in search.similar_groups(catalog_of(spark, rows)).collect()) == [(1, 1), (2, 2), (3, 3), (4, 3)]
 
 
+@pytest.mark.parametrize("least", [0.6, 0.35])
+def test_descriptions_of_copies_are_compared_once(spark, monkeypatch, least):
+    """Each order of two descriptions counts as often as packages have them so."""
+    n, rows = counted_ratios(spark, monkeypatch), copies(240)
+    seed, alike = grouped(rows, least)
+    got = {x.seed: (x.n, x.similar_descriptions) for x in search.compared(catalog_of(spark, rows), least=least).collect()}
+    sizes = {s: list(seed.values()).count(s) for s in set(seed.values())}
+    assert got == {s: (k, alike[s]) for s, k in sizes.items() if k > 1}
+    assert n.value <= 1000
+
+
 def test_json_of_rows():
     assert t.rows_of({"a": {"b": True, "c": []}, "d": None, "e": [1, "x"], "f": {}}) == [("a.b", "true", None), ("a.c", None, []), ("d", None, None), ("e", None, ["1", "x"])]
     assert json.loads("1") == 1
