@@ -28,10 +28,10 @@ SEGMENT, SEGMENTS = 21, 12
 #: Most differing bits of one word of 64, and of all four, of texts that are compared shingle by shingle: more than two and
 #: a half standard deviations above that average.
 WORD_BITS, ALL_BITS = 17, 54
-#: Rows of a bucket that are compared with each other at once: of longer ones those that follow each other in order.
+#: Rows of a bucket that are compared at once with as many others of it; a longer one is gone through in such squares.
 STRETCH = 1024
 #: Closest candidates of a text that are compared in a round, and the most rounds. In each round a text looks for those
-#: that it isn't joined with yet.
+#: that it isn't joined with yet. They join most of what is similar; an exact join of what has candidates finds the rest.
 CLOSEST, ROUNDS = 4, 3
 
 
@@ -252,16 +252,21 @@ def _nearest(key: np.ndarray, word: np.ndarray, marked: np.ndarray, root: np.nda
         i = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
         take(i, i + step)
     for start, size in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
-        for at in range(start, start + size, STRETCH // 2):  # each row meets the half stretch before and after it at least
-            rows = np.arange(at, min(at + STRETCH, start + size))
-            i = rows[own[rows]]
-            if len(i) and (root[rows] != root[rows[0]]).any():
-                bits = np.bitwise_count(word[i][:, None] ^ word[rows][None, :])
-                bits[root[i][:, None] == root[rows][None, :]] = 255
-                j = bits.argmin(1)
-                least = bits[np.arange(len(i)), j]
-                ok = least <= WORD_BITS
-                x.append(i[ok]), y.append(rows[j[ok]]), d.append(least[ok])
+        rows = np.arange(start, start + size)
+        mine = rows[own[rows]]
+        if not len(mine) or (root[rows] == root[start]).all():
+            continue
+        for i in np.split(mine, range(STRETCH, len(mine), STRETCH)):
+            least, best = np.full(len(i), 255, np.uint8), i.copy()
+            for j in np.split(rows, range(STRETCH, size, STRETCH)):
+                bits = np.bitwise_count(word[i][:, None] ^ word[j][None, :])
+                bits[root[i][:, None] == root[j][None, :]] = 255
+                at = bits.argmin(1)
+                found = bits[np.arange(len(i)), at]
+                closer = found < least
+                least[closer], best[closer] = found[closer], j[at[closer]]
+            ok = least <= WORD_BITS
+            x.append(i[ok]), y.append(best[ok]), d.append(least[ok])
     if not x:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y, d = (np.concatenate(v) for v in (x, y, d))
@@ -273,22 +278,19 @@ def _nearest(key: np.ndarray, word: np.ndarray, marked: np.ndarray, root: np.nda
 
 def _candidates(batches):
     """(x, y): nodes and their closest candidates. Rows come sorted by key and word; a bucket that a batch cuts off is
-    carried over, as far as a stretch goes."""
-    rest = None
+    carried over as a whole."""
+    rest: list[list[np.ndarray]] = []
     for b in batches:
         columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
-        if rest is not None:
-            columns = [np.concatenate(v) for v in zip(rest, columns, strict=True)]
         if not len(columns[0]):
             continue
         last = int(np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])[-1])
-        rest = [v[last:] for v in columns]
-        done = last
-        if len(rest[0]) > 8 * STRETCH:  # what has met all that it will goes; the last stretch stays
-            done, rest = len(columns[0]), [v[-STRETCH:] for v in rest]
-        yield from _found([v[:done] for v in columns])
-    if rest is not None:
-        yield from _found(rest)
+        if last or (rest and rest[-1][0][-1] != columns[0][0]):
+            yield from _found([np.concatenate(v) for v in zip(*rest, [v[:last] for v in columns], strict=True)])
+            rest = []
+        rest.append([v[last:] for v in columns])
+    if rest:
+        yield from _found([np.concatenate(v) for v in zip(*rest, strict=True)])
 
 
 def _found(columns):
@@ -307,16 +309,38 @@ def _shingle_sets(batches):
             yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts' sets of shingles have the similarity; only texts of pairs are shuffled."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    sets = table(in_arrow(texts.join(named, F.col("node") == F.col("n"), "left_semi").select("node", "text"), _shingle_sets, "node long, shingles array<long>"))
+def _sets(texts: DataFrame) -> DataFrame:
+    return table(in_arrow(texts, _shingle_sets, "node long, shingles array<long>"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets`` of shingles have the similarity."""
     one = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}"))
     both = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(one("a"), "a").join(one("b"), "b").where(both >= SIMILAR * (F.size("sa") + F.size("sb") - both)).select("a", "b")
     return cut(gathered(found, pairs.count()))
 
 
+def _unjoined(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with other ``roots`` (node, root) among which all are whose ``sets`` have the similarity.
+
+    A prefix filter, which is exact: shingles are ordered by how many sets have them, rarest first, and of two sets that
+    are similar the first fifth, and one, share a shingle. Where that stands in both sets bounds what they can share.
+    """
+    sized = cut(sets.join(roots, "node").select("node", "root", F.size("shingles").alias("size")))
+    each = sets.select("node", F.explode("shingles").alias("s"))
+    shared = each.join(sized, "node").groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1")
+    listed = each.join(shared.select("s", "n", (F.col("lo") < F.col("hi")).alias("cross")), "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s", "cross"))).alias("l"))
+    listed = listed.join(sized, "node").withColumn("own", F.col("size") - F.size("l"))  # those that it has alone come first
+    prefix = F.greatest(F.col("size") - F.ceil(SIMILAR * F.col("size") - 1e-9) + 1 - F.col("own"), F.lit(0)).cast("int")
+    rows = listed.select("node", "root", "size", "own", F.slice("l", F.lit(1), prefix).alias("l")).select("node", "root", "size", "own", F.posexplode("l").alias("pos", "e"))
+    rows = cut(rows.where("e.cross").select(F.col("e.s").alias("s"), "node", "root", "size", (F.col("size") - F.col("own") - F.col("pos")).alias("left")))
+    one = lambda c: rows.select("s", *(F.col(k).alias(k + c) for k in ("node", "root", "size", "left")))
+    need = F.ceil(SIMILAR / (1 + SIMILAR) * (F.col("sizea") + F.col("sizeb")) - 1e-9)
+    able = (F.least("sizea", "sizeb") >= SIMILAR * F.greatest("sizea", "sizeb") - 1e-9) & (F.least("lefta", "leftb") >= need)
+    return one("a").join(one("b"), "s").where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & able).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(key_id, key_1, key_2, doc_id, node, root), computed once: for each row of ``docs`` (doc_id, text) the node of its
     distinct text and the group of its near duplicates, texts that are linked by a similarity of SIMILAR or more.
@@ -325,8 +349,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     null and blank texts are one. Candidates meet by multi-index hashing: each segment of a long fingerprint enumerates
     its ball of radius 1, and looks up its own value in the table of all. A text takes the closest of each of its buckets,
     by a word of the fingerprints; of these the closest by the whole distance are verified by their shingles. Texts that
-    have candidates do so again, among those that they are not joined with, until a round joins nothing. So a group of
-    many near copies costs a few comparisons for each of them, not its pairs.
+    have candidates do so again, among those that they are not joined with, until a round joins nothing or ROUNDS are over.
+    So a group of many near copies costs a few comparisons for each of them, not its pairs. What that leaves is found
+    exactly: of the texts that have a candidate in any bucket all pairs that are similar and not joined yet.
     """
     rows = cut(in_arrow(docs.select(*row_key(), F.col("doc_id").cast("long"), "text"), _long_fingerprints, "key_id long, key_1 long, key_2 long, doc_id long, t1 long, t2 long, f0 long, f1 long, f2 long, f3 long"))
     prints = [f"f{k}" for k in range(4)]
@@ -339,15 +364,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         keyed = in_arrow(of, _ball_rows, schema).repartition("key").sortWithinPartitions("key", "word")
         return cut(in_arrow(keyed, _candidates, "x long, y long").distinct())
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    def both(pairs: DataFrame, *ends: str) -> DataFrame:
+        return pairs.select(F.explode(F.array(*ends)).alias("n")).distinct()
+
+    def sets(named: DataFrame) -> DataFrame:
         wanted = small(cut(owners.join(named, F.col("node") == F.col("n"), "left_semi")))
-        return docs.select(*row_key(), "text").join(wanted, same).select("node", "text").dropDuplicates(["node"])
+        return _sets(docs.select(*row_key(), "text").join(wanted, same).select("node", "text").dropDuplicates(["node"]))
 
     met = candidates(nodes.select("node", *prints), "key long, word long, marked long")
     n = met.count()
     few = lambda df: gathered(df, n)
     met = few(met)
+    able = cut(few(both(met, "x", "y")))
     linked = tried = met.select(F.col("x").alias("a"), F.col("y").alias("b")).where("false")
     found = linked.select(F.col("a").alias("node"), F.col("b").alias("root"))
     bits = F.lit(0)
@@ -362,16 +390,21 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         side = lambda c, of=active: of.select(F.col("node").alias(c), *(F.col(f).alias(c + f) for f in prints))
         near = cut(few(met.join(side("x"), "x").join(side("y"), "y").select("x", "y", bits.alias("bits")).where(F.col("bits") <= ALL_BITS)))
         if not i:  # the others have nothing near them
-            named = near.select(F.explode(F.array("x", "y")).alias("n")).distinct()
-            active = cut(few(nodes.select("node", *prints).join(named, F.col("node") == F.col("n"), "left_semi")))
+            active = cut(few(nodes.select("node", *prints).join(both(near, "x", "y"), F.col("node") == F.col("n"), "left_semi")))
         # a node has a candidate for each of its segments at most
         best = near.groupBy("x").agg(F.slice(F.sort_array(F.collect_list(F.struct("bits", "y"))), 1, CLOSEST).alias("best")).select("x", F.explode("best.y").alias("y"))
         pairs = cut(few(few(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()).join(tried, ["a", "b"], "left_anti")))
-        new = _similar(pairs, texts(pairs))
+        new = _similar(pairs, sets(both(pairs, "a", "b")))
         if not new.limit(1).count():
             break
         linked, tried = cut(few(linked.union(new))), cut(few(tried.union(pairs)))
         found = cut(few(components(linked)))
+    forget(docs.sparkSession)
+    roots = few(able.join(found, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("root", "n").alias("root")))
+    known = sets(able)
+    new = _similar(cut(few(_unjoined(known, roots).join(tried, ["a", "b"], "left_anti"))), known)
+    if new.limit(1).count():
+        found = cut(few(components(linked.union(new))))
     of = nodes.join(found.select(F.col("node").alias("n"), "root"), F.col("node") == F.col("n"), "left").select("t1", "t2", "node", F.coalesce("root", "node").alias("root"))
     return cut(rows.join(of, ["t1", "t2"]).select(*KEY, "doc_id", "node", "root"))
 

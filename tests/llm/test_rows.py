@@ -208,6 +208,35 @@ def test_similar_groups(spark, monkeypatch, stretch):
     assert got[1000] == got[1001] != got[1002] and got[1003] == got[1004] == got[1005]
 
 
+def test_the_closest_of_a_long_bucket(monkeypatch):
+    """A bucket of many stretches: the closest candidate is found wherever it stands."""
+    monkeypatch.setattr(simhash, "STRETCH", 8)
+    r = np.random.default_rng(1)
+    word = np.sort(r.integers(0, 2**63, 200, np.uint64))
+    word[7], word[190] = word[8] ^ np.uint64(1 << 63), word[8] ^ np.uint64(7)
+    marked = np.arange(200, dtype=np.int64) << 5
+    x, y = simhash._nearest(np.zeros(200, np.int64), word, marked, marked >> 5)
+    assert dict(zip(x.tolist(), y.tolist(), strict=True)).items() >= {(7, 8), (8, 7), (190, 8)}
+
+
+def test_what_rounds_leave_is_found(spark, monkeypatch):
+    """One round with one candidate joins few; the exact join finds the rest, of chains too."""
+    monkeypatch.setattr(simhash, "ROUNDS", 1), monkeypatch.setattr(simhash, "CLOSEST", 1)
+    r, rows = random.Random(9), {}
+    for _ in range(6):
+        words = [f"v{r.randrange(4000)}" for _ in range(200)]
+        for k in range(12):
+            words[k * 16 : k * 16 + 3] = [f"w{r.randrange(10**6)}" for _ in range(3)]
+            rows[len(rows)] = " ".join(words)
+        for k in range(6):
+            rows[len(rows)] = edited(r, words, 1)
+    got = {x.doc_id: x.root for x in simhash.similar_groups(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).select("doc_id", "root").collect()}
+    first = {}
+    for d in sorted(got):
+        first.setdefault(got[d], d)
+    assert {d: first[g] for d, g in got.items()} == plain_groups(rows)
+
+
 def test_posteriors(spark):
     r = random.Random(2)
     rows = [(i, f"h{min(int(r.expovariate(0.4)), 9)}", f"p{r.randrange(4)}", r.choice([0.01, 0.2, 0.5, 0.9, 1.0, 0.0])) for i in range(500)] + [(900, "lone", "p", 0.6), (901, "", "", 0.4)]
